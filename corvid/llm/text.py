@@ -140,3 +140,24 @@ def ragged(offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     out = np.arange(ends[-1] if len(ends) else 0, dtype=np.int64)
     out += np.repeat(offsets[ids] - (ends - n), n)
     return out, np.concatenate([[0], ends])
+
+
+def segments(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """Hash of h[s : s + n] for each (s, n): differences of prefix sums of h[j] * base**j, shifted back and mixed."""
+    b, inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+    with np.errstate(over="ignore"):
+        powers = np.full(len(h) + 1, b, np.uint64)
+        powers[:1] = 1
+        np.cumprod(powers, out=powers)
+        back = np.full(len(h) + 1, inverse, np.uint64)
+        back[:1] = 1
+        np.cumprod(back, out=back)
+        sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * powers[:-1], out=sums[1:])
+        return mix((sums[starts + lengths] - sums[starts]) * back[starts] + lengths.astype(np.uint64))
+
+
+def lists(array: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Offsets (from 0) and flat values of a list column; null lists as empty."""
+    n = pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(n, dtype=np.int64)]), array.flatten()
