@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A term is a word with A-Z lower-cased and ASCII punctuation stripped from both ends, hashed to `dims`
-buckets; a document has a term once. The score is the logistic of
+A term is a word with A-Z lower-cased and ASCII punctuation stripped from both ends, or a stem of it (its
+first bytes), hashed to `dims` buckets; a document has a term once. The score is the logistic of
 bias + sum of w_i + sum over pairs of <v_i, v_j>, so that two terms that mean little alone (an insult, a
 group's mention) can weigh together. Only labels and terms of the text are learnt from: never language,
 source or doc_id.
@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 
 from corvid.llm import text as T
 
+#: Bytes of the stems that are terms beside the whole word, so that inflected forms share evidence.
+STEMS = (5, 7)
+
 _STRIP = string.punctuation.encode()
 
 
@@ -40,11 +43,15 @@ def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
 
 def terms(texts: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct term buckets of all texts, one after another, and their n+1 offsets."""
-    w = T.words(texts, lower=True)
-    of = np.array([xxhash.xxh3_64_intdigest(s) % dims if (s := x.strip(_STRIP)) else -1 for x in w.bytes_of()], np.int64)
-    buckets = of[w.ids] if len(w.ids) else np.zeros(0, np.int64)
-    coded = np.unique(T.doc_of(w.bounds)[buckets >= 0] * dims + buckets[buckets >= 0])
-    return coded % dims, np.searchsorted(coded, np.arange(len(w) + 1) * dims)
+    w, h = T.words(texts, lower=True), xxhash.xxh3_64_intdigest
+    doc, coded = T.doc_of(w.bounds), []
+    stripped = [x.strip(_STRIP) for x in w.bytes_of()]
+    for seed, most in enumerate((None, *STEMS)):
+        of = np.array([h(x[:most], seed) % dims if x else -1 for x in stripped], np.int64)
+        buckets = of[w.ids] if len(w.ids) else np.zeros(0, np.int64)
+        coded.append(doc[buckets >= 0] * dims + buckets[buckets >= 0])
+    distinct = np.unique(np.concatenate(coded))
+    return distinct % dims, np.searchsorted(distinct, np.arange(len(w) + 1) * dims)
 
 
 @dataclass
@@ -76,8 +83,11 @@ def _raw(bias: float, w: np.ndarray, v: np.ndarray, at: np.ndarray, doc: np.ndar
     return bias + linear + 0.5 * ((sums**2).sum(axis=1) - squares), sums
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, dims: int, factors: int = 8, least_z: float = 4.0, epochs: int = 150, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> Machine:
-    """A machine from the distinct buckets of each document and labels 0 or 1, by Adam on the mean logistic loss."""
+def fit(docs: list[np.ndarray], labels: np.ndarray, dims: int, factors: int = 8, least_z: float = 4.0, epochs: int = 300, rate: float = 0.05, decay: tuple[float, float] = (1e-6, 1e-4), seed: int = 7) -> Machine:
+    """A machine from the distinct buckets of each document and labels 0 or 1, by Adam on the mean logistic loss.
+
+    The first third of the steps fits the additive weights alone, so that a term which is enough by itself gets its weight there.
+    """
     n, share = len(docs), float(labels.mean()) if len(labels) else 0.0
     none = np.zeros(0)
     if not 0 < share < 1:
@@ -97,8 +107,8 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, dims: int, factors: int = 8,
         g = (_logistic(raw) - labels) / n
         each = g[doc]
         pairs = each[:, None] * (sums[doc] - params[2][at])
-        grads = [np.array([g.sum()]), np.bincount(at, each, len(buckets)) + decay * params[1], np.stack([np.bincount(at, pairs[:, f], len(buckets)) for f in range(factors)], axis=1) + decay * params[2]]
-        for p, d, m, s in zip(params, grads, mean, var, strict=True):
+        grads = [np.array([g.sum()]), np.bincount(at, each, len(buckets)) + decay[0] * params[1], np.stack([np.bincount(at, pairs[:, f], len(buckets)) for f in range(factors)], axis=1) + decay[1] * params[2]]
+        for p, d, m, s in list(zip(params, grads, mean, var, strict=True))[: 2 if step <= epochs // 3 else 3]:
             m += 0.1 * (d - m)
             s += 0.001 * (d * d - s)
             p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
