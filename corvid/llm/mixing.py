@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvid.llm.scratch import stage
+
 _SPLIT = "[\\x20\\x09-\\x0D]+"
 
 
@@ -46,11 +48,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     ranked = sizes.withColumn("_k", F.row_number().over(order) - 1).withColumn("weight", F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col("_k") % len(weights)))
     all_ = Window.partitionBy()
     fill = Window.orderBy(F.col("source_size") / F.col("weight"), "_k")
-    level = (share * F.sum("source_size").over(all_) - F.coalesce(most * F.sum("source_size").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing))
-    leveled = ranked.withColumn("_level", level)
-    # The first source in this order that its level leaves below its cap sets the level of all after it.
-    free = F.min(F.when(F.col("_level") * F.col("weight") < most * F.col("source_size"), F.col("_level"))).over(all_)
-    return leveled.withColumn("_free", free).select("source", "source_size", F.least(most * F.col("source_size"), F.coalesce(F.col("_free") * F.col("weight"), most * F.col("source_size"))).alias("target"))
+    each = (share * F.sum("source_size").over(all_) - F.coalesce(most * F.sum("source_size").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing))
+    ranked = ranked.withColumn("_each", each)
+    # Capping a source whose share exceeds its cap raises the level, capping any other lowers it: the greatest is the fixpoint.
+    return ranked.withColumn("_level", F.max("_each").over(all_)).select("source", "source_size", F.least(most * F.col("source_size"), F.col("_level") * F.col("weight")).alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", cells: int = 1024) -> DataFrame:
@@ -58,6 +59,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"), quality(F.col("text")).alias("_q"))
     u = uniform(F.col("doc_id"), seed)
     keyed = d.withColumn("_key", -F.log(u) / F.col("_q")).withColumn("_cell", F.floor(cells * (1 - F.exp(-F.col("_key")))).cast("int")).drop("_q")
+    keyed = stage(keyed, "mix")  # texts are read once
     cell_sizes = keyed.groupBy("source", "_cell").agg(F.sum("size").alias("_words"))
     source_sizes = cell_sizes.groupBy("source").agg(F.sum("_words").alias("source_size"))
     goals = targets(source_sizes, weights, share, most)

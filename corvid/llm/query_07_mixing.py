@@ -24,7 +24,7 @@ WITH d AS (
   SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(2.0::DOUBLE * sum(source_size) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s
 ), t AS (
-  SELECT source, source_size, least(2.0::DOUBLE * source_size, coalesce(min(CASE WHEN level * w < 2.0::DOUBLE * source_size THEN level END) OVER () * w, 2.0::DOUBLE * source_size)) AS target FROM l
+  SELECT source, source_size, least(2.0::DOUBLE * source_size, max(level) OVER () * w) AS target FROM l
 ), k AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS e,
     sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(u) / q, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start

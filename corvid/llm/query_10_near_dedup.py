@@ -9,7 +9,7 @@ NAME = "op10_near_dedup"
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=5, threshold=0.75, t=128, rows=4)
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=5, threshold=0.75, t=128, rows=4).drop("row_hash")
 
 
 ORACLE_SQL = """
