@@ -102,9 +102,7 @@ def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha25
     differ = stage(hits.join(kept_text, "digest").filter("text <> kept_text").select("digest").distinct(), "collisions")
     if not differ.isEmpty():
         fine = rows.join(differ, "digest", "left_anti").select("doc_id", "row_hash", "sha", "keep_id", "group_size")
-        texts = hits.join(differ, "digest", "left_semi")
-        each = seen.join(differ, "digest", "left_semi").select("doc_id", "row_hash", "sha")
-        placed = each.alias("e").join(texts.alias("t"), F.expr("e.doc_id <=> t.doc_id AND e.row_hash = t.row_hash")).select("e.*", "t.text")
+        placed = hits.join(differ, "digest", "left_semi").select("doc_id", "row_hash", sha256(F.col("text")).alias("sha"), "text")
         by_text = placed.groupBy("text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         rows = fine.unionByName(placed.join(by_text, "text").select("doc_id", "row_hash", "sha", "keep_id", "group_size"))
     return rows.select("doc_id", "row_hash", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

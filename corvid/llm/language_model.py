@@ -104,8 +104,8 @@ def _level2(path: str, shard: int) -> tuple[np.ndarray, EliasFano, EliasFano, El
 def _each(shards: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Shard and the places of its rows."""
     order = np.argsort(shards, kind="stable")
-    bounds = np.flatnonzero(np.diff(shards[order], prepend=-1))
-    for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(order)], strict=True):
+    bounds = [*np.flatnonzero(np.diff(shards[order], prepend=-1)).tolist(), len(order)]
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         yield int(shards[order[a]]), order[a:b]
 
 
@@ -113,6 +113,8 @@ def word_ids(m: Model, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(id or -1, count) of words by hash."""
     ids, counts = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
     for shard, rows in _each(_shard(hashes, m.bits)):
+        if m.bases[shard] == m.bases[shard + 1]:
+            continue
         words, have = _level1(m.path, shard)
         at = words.find(hashes[rows])
         known = at >= 0

@@ -82,10 +82,15 @@ class FingerprintIndex:
         self.spark, self.width, self.gram = spark, width, gram
         self.path = path or fresh_dir(spark, "fingerprints")
         self.runs: list[str] = []
+        self._made = 0
 
     def _docs(self, docs: DataFrame) -> DataFrame:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), "text")
 
+    def _name(self, kind: str) -> str:
+        self._made += 1
+        return f"{self.path}/{kind}-{self._made:05d}"
+
     def append(self, docs: DataFrame) -> DataFrame:
         """Fingerprints a batch into a new run, each file of it sorted, and returns that run."""
         width, gram = self.width, self.gram
@@ -101,7 +106,7 @@ class FingerprintIndex:
                             ["fp", "span", "doc_id", "row_hash", "first", "n"],
                         )
 
-        path = f"{self.path}/run-{len(self.runs):05d}"
+        path = self._name("run")
         self._docs(docs).mapInArrow(rows, _RUN).sortWithinPartitions("fp").write.parquet(path)
         self.runs.append(path)
         return self._read([path])
@@ -113,7 +118,7 @@ class FingerprintIndex:
         """Merges all runs into one, sorted by fingerprint, and drops the merged ones."""
         if len(self.runs) < 2:
             return
-        path = f"{self.path}/compacted-{len(self.runs):05d}"
+        path = self._name("compacted")
         self._read(self.runs).repartition("fp").sortWithinPartitions("fp").write.parquet(path)
         old, self.runs = self.runs, [path]
         for p in old:
