@@ -118,20 +118,22 @@ def merge_expression(path: str):
 
     def step(s: Column, _: Column) -> Column:
         def at(p: Column) -> Column:
-            """p: the place, from 1, of the pair to merge; the left one's entry and the merged one's are new."""
+            """p: the place, from 1, of the pair to merge. The entries of the token before and of the merged one are new."""
             merged = F.shiftright(F.get(s, p - 1), 16)
-            left, after = F.get(s, p - 2), F.get(s, p + 1)
-            before = F.when(p > 1, F.array(F.shiftleft(left.bitwiseAND(low), 16).bitwiseOR(merged))).otherwise(F.array().cast("array<bigint>"))
-            last = F.when(after.isNull(), F.array(F.lit(_NONE << 16).cast("bigint").bitwiseOR(merged)))
-            own = F.coalesce(last, F.transform(F.array(F.shiftleft(merged, 16).bitwiseOR(after.bitwiseAND(low))), entry))
-            return F.concat(F.when(p > 2, F.slice(s, F.lit(1), p - 2)).otherwise(F.array().cast("array<bigint>")), F.transform(before, entry), own, F.slice(s, p + 2, F.size(s)))
+            keys = F.array(F.shiftleft(F.get(s, p - 2).bitwiseAND(low), 16).bitwiseOR(merged), F.shiftleft(merged, 16).bitwiseOR(F.get(s, p + 1).bitwiseAND(low)))
+            return F.concat(F.slice(s, F.lit(1), p - 2), F.transform(keys, entry), F.slice(s, p + 2, F.size(s)))
 
         least = F.array_min(s)
-        return F.when(F.shiftright(least, 16) == low, s).otherwise(F.get(F.transform(F.array(F.array_position(s, least).cast("int")), at), F.lit(0)))
+        return F.when(least >= stop, s).otherwise(F.get(F.transform(F.array(F.array_position(s, least).cast("int")), at), F.lit(0)))
+
+    # Both ends are an id that no pair has.
+    edge = F.array(F.lit(_NONE << 16 | 65535).cast("bigint"))
+    stop = F.lit(_NONE << 16).cast("bigint")
 
     def merge(word: Column) -> Column:
         start = F.transform(word, lambda b, i: F.coalesce(F.get(two_c, b * 256 + F.get(word, i + 1)), F.get(alone_c, b)))
-        return F.aggregate(word, start, step, lambda s: F.transform(s, lambda e: e.bitwiseAND(low).cast("int")))
+        own = lambda s: F.filter(F.transform(s, lambda e: e.bitwiseAND(low).cast("int")), lambda i: i < 65535)
+        return F.aggregate(word, F.concat(edge, start, edge), step, own)
 
     return merge
 
@@ -142,34 +144,54 @@ def piece_expression(path: str):
     return lambda ids: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
 
 
-def _units(texts: pa.Array, split) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words of texts, the number of each occurrence in order, and the n+1 offsets of the texts.
+class _Block:
+    """The numbered distinct words of a block, and its documents as sequences of their numbers.
 
     A text is cut before each run of ASCII white space first: the pattern's matches do not cross such a
     cut where white space of other kinds is absent, so that every distinct unit is matched once. Texts
     with white space of other kinds are matched whole.
     """
-    odd = pc.match_substring_regex(texts, "[\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]").to_numpy(zero_copy_only=False)
-    data, offsets = T.buffers(texts)
-    space = T._SPACE[data]
-    start = space.copy()
-    start[1:] &= ~space[:-1]
-    start[offsets[:-1][np.diff(offsets) > 0]] = True
-    if odd.any():
-        whole = np.repeat(odd, np.diff(offsets))
-        start &= ~whole
-        start[offsets[:-1][odd]] = True
-    at = np.flatnonzero(start)
-    coded = T.binary_array(data, np.append(at, len(data))).dictionary_encode() if len(at) else pa.array([], pa.binary()).dictionary_encode()
-    number: dict[str, int] = {}
-    flat, sizes = [], []
-    for unit in coded.dictionary.to_pylist():
-        found = split(unit.decode())
-        sizes.append(len(found))
-        flat.extend([number.setdefault(x, len(number)) for x in found])
-    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    places, ends = T.ragged(starts, coded.indices.to_numpy())
-    return [x.encode() for x in number], np.array(flat, np.int32)[places], ends[np.searchsorted(at, offsets)]
+
+    _OTHER = "[\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+    def __init__(self, split):
+        self.split = split
+        self.number: dict[str, int] = {}
+        self.units: dict[bytes, list[int]] = {}
+        self.docs: list[pa.Array] = []
+        self.places: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.bytes = 0
+
+    def add(self, docs: pa.Array, texts: pa.Array) -> None:
+        odd = pc.match_substring_regex(texts, self._OTHER).to_numpy(zero_copy_only=False)
+        data, offsets = T.buffers(texts)
+        space = T._SPACE[data]
+        start = space.copy()
+        start[1:] &= ~space[:-1]
+        start[offsets[:-1][np.diff(offsets) > 0]] = True
+        if odd.any():
+            start &= ~np.repeat(odd, np.diff(offsets))
+            start[offsets[:-1][odd]] = True
+        at = np.flatnonzero(start)
+        coded = T.binary_array(data, np.append(at, len(data)) if len(at) else np.zeros(1)).dictionary_encode()
+        number, units = self.number, self.units
+        own = []
+        for unit in coded.dictionary.to_pylist():
+            found = units.get(unit)
+            if found is None:
+                found = units[unit] = [number.setdefault(x, len(number)) for x in self.split(unit.decode())]
+            own.append(found)
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+        flat = np.fromiter((i for x in own for i in x), np.int32, int(starts[-1]))
+        places, ends = T.ragged(starts, coded.indices.to_numpy())
+        self.docs.append(docs)
+        self.places.append(flat[places].astype("<i4"))
+        self.counts.append(np.diff(ends[np.searchsorted(at, offsets)]))
+        self.bytes += len(data)
+
+    def words(self) -> list[bytes]:
+        return [x.encode() for x in self.number]
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, block_bytes: int = BLOCK_BYTES, longest: int = 96) -> DataFrame:
@@ -182,24 +204,34 @@ def encode(docs: DataFrame, ranks: str, pattern: str, block_bytes: int = BLOCK_B
         import tiktoken
 
         split, library = regex.compile(pattern).findall, None
+        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+
+        def row(block: _Block) -> pa.RecordBatch:
+            nonlocal library
+            found, places, extra = block.words(), np.concatenate(block.places), []
+            long = np.array([len(w) > longest for w in found], bool)
+            short = [w for w in found if len(w) <= longest]
+            if long.any():
+                library = library or tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks), special_tokens={})
+                to = np.where(long, len(short) + np.cumsum(long) - 1, np.cumsum(~long) - 1)
+                places, extra = to[places].astype("<i4"), [library._encode_single_piece(w) for w in found if len(w) > longest]
+            lengths = np.concatenate([[0], np.cumsum([len(w) for w in short])])
+            arrays = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.frombuffer(b"".join(short), np.uint8).astype(np.int32)))
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(block.counts))]).astype("<i8")
+            return pa.RecordBatch.from_arrays(
+                [one(pa.concat_arrays(block.docs)), pa.array([ends.tobytes()], pa.binary()), pa.array([places.tobytes()], pa.binary()), one(arrays), one(pa.array(extra, pa.list_(pa.int32())))],
+                ["docs", "ends", "places", "words", "extra"],
+            )
+
+        block = _Block(split)
         for batch in batches:
-            for x in T.pieces(batch, most=block_bytes):
-                texts = pc.fill_null(T.column(x, "text"), "")
-                found, places, ends = _units(texts, split)
-                short, extra = [w for w in found if len(w) <= longest], []
-                if len(short) < len(found):
-                    library = library or tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks), special_tokens={})
-                    is_long = np.array([len(w) > longest for w in found])
-                    to = np.where(is_long, len(short) + np.cumsum(is_long) - 1, np.cumsum(~is_long) - 1)
-                    places, extra = to[places].astype(np.int32), [library._encode_single_piece(w) for w in found if len(w) > longest]
-                lengths = np.concatenate([[0], np.cumsum([len(w) for w in short])])
-                values = pa.array(np.frombuffer(b"".join(short), np.uint8).astype(np.int32))
-                arrays = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), values)
-                one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-                yield pa.RecordBatch.from_arrays(
-                    [one(T.column(x, "doc_id")), pa.array([ends.astype("<i8").tobytes()], pa.binary()), pa.array([places.astype("<i4").tobytes()], pa.binary()), one(arrays), one(pa.array(extra, pa.list_(pa.int32())))],
-                    ["docs", "ends", "places", "words", "extra"],
-                )
+            for x in T.pieces(batch):
+                block.add(T.column(x, "doc_id"), pc.fill_null(T.column(x, "text"), ""))
+                if block.bytes >= block_bytes:
+                    yield row(block)
+                    block = _Block(split)
+        if block.docs:
+            yield row(block)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
