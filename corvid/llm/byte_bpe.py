@@ -30,9 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm import text as T
+from corvid.llm.scratch import bounded_batches
 
 #: Bytes of text in a block, at least one document.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 10 << 20
 #: The rank of pairs that do not merge; and an entry that no first id matches.
 _NONE, _FREE = 65535, 1 << 62
 
@@ -194,6 +195,13 @@ class _Block:
         return [x.encode() for x in self.number]
 
 
+def _joined(ids: pa.Array, decoded: pa.Array, bounds: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Number of ids, ids and bytes of each document, from those of its words in order."""
+    raw, n = T.buffers(ids)
+    text, m = T.buffers(decoded)
+    return pa.array(np.diff(n[bounds]) // 4), T.binary_array(raw, n[bounds]), T.binary_array(text, m[bounds])
+
+
 def encode(docs: DataFrame, ranks: str, pattern: str, block_bytes: int = BLOCK_BYTES, longest: int = 96) -> DataFrame:
     """doc_id, n_tokens, ids (32-bit little-endian) and decoded (bytes) of every document.
 
@@ -225,7 +233,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, block_bytes: int = BLOCK_B
 
         block = _Block(split)
         for batch in batches:
-            for x in T.pieces(batch):
+            for x in T.pieces(batch, most=T.PIECE_BYTES // 2):
                 block.add(T.column(x, "doc_id"), pc.fill_null(T.column(x, "text"), ""))
                 if block.bytes >= block_bytes:
                     yield row(block)
@@ -240,22 +248,19 @@ def encode(docs: DataFrame, ranks: str, pattern: str, block_bytes: int = BLOCK_B
                 docs_, ids, decoded = (T.column(row, c).flatten() for c in ("docs", "ids", "decoded"))
                 ends, places = (np.frombuffer(T.column(row, c)[0].as_buffer(), t) for c, t in (("ends", "<i8"), ("places", "<i4")))
                 off, flat = T.lists(ids)
-                flat = flat.to_numpy().astype("<u4")
-                raw, raw_off = T.buffers(decoded)
-                step, at = max(1, len(docs_) * T.PIECE_BYTES // max(1, 4 * len(places))), 0
+                coded = T.binary_array(flat.to_numpy().astype("<u4").view(np.uint8), off * 4)
+                step, at = max(1, len(docs_) * T.PIECE_BYTES // max(1, 8 * len(places))), 0
                 while at < len(docs_):
                     to = min(len(docs_), at + step)
-                    own = places[ends[at] : ends[to]]
-                    bounds = ends[at : to + 1] - ends[at]
-                    take, n = T.ragged(off, own)
-                    bytes_, m = T.ragged(raw_off, own)
+                    own, bounds = pa.array(places[ends[at] : ends[to]]), ends[at : to + 1] - ends[at]
                     yield pa.RecordBatch.from_arrays(
-                        [docs_.slice(at, to - at), pa.array(np.diff(n[bounds])), T.binary_array(flat[take].view(np.uint8), n[bounds] * 4), T.binary_array(raw[bytes_], m[bounds])],
+                        [docs_.slice(at, to - at), *_joined(coded.take(own), decoded.take(own), bounds)],
                         ["doc_id", "n_tokens", "ids", "decoded"],
                     )
                     at = to
 
     merge, piece = merge_expression(ranks), piece_expression(ranks)
+    bounded_batches(docs.sparkSession)
     blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(words, "docs array<long>, ends binary, places binary, words array<array<int>>, extra array<array<int>>")
     merged = blocks.select("docs", "ends", "places", F.concat(F.transform("words", merge), "extra").alias("ids"))
     pieced = merged.select("docs", "ends", "places", "ids", F.transform("ids", piece).alias("decoded"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from corvid.llm import text as T
 from corvid.llm.elias_fano import EliasFano, load, save
-from corvid.llm.scratch import fresh_dir, stage
+from corvid.llm.scratch import bounded_batches, fresh_dir, stage
 
 #: The end token: no word holds a space.
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
@@ -162,6 +162,7 @@ def _quantised(p: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, path: str | None = None, least: int = 2, discount: float = 0.75) -> Model:
     """Counts and writes the levels from the texts of docs."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     path = path or fresh_dir(spark, "language-model")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

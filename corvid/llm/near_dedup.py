@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm import text as T
-from corvid.llm.scratch import stage
+from corvid.llm.scratch import bounded_batches, stage
 
 _BASE = 0x9E3779B97F4A7C15
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -155,6 +155,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.75,
     shingle: at least 5 in production; threshold: share of the union; t and rows: coordinates of a
     sketch and of a band.
     """
+    bounded_batches(docs.sparkSession)
     percent = round(100 * threshold)
     signed = stage(signatures(docs, shingle, t, rows), "signatures")
     classes = stage(

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.llm import text as T
-from corvid.llm.scratch import fresh_dir, remove, stage
+from corvid.llm.scratch import bounded_batches, fresh_dir, remove, stage
 
 _A, _B = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _ROW = "doc_id long, row_hash int"
@@ -131,6 +131,7 @@ class FingerprintIndex:
         batches, where their runs' places are looked up for verification. Returns doc_id, n_words,
         n_removed and kept_text (kept words joined by one space), one row per row of docs.
         """
+        bounded_batches(self.spark)
         earlier = list(self.runs)
         if earlier and history is None:
             raise ValueError("the documents of earlier batches are needed to verify hits")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvid.llm import text as T
-from corvid.llm.scratch import fresh_dir, stage
+from corvid.llm.scratch import bounded_batches, fresh_dir, stage
 
 _MASK = 0xA282EAD8
 #: Index header: magic, bytes of an id, entries.
@@ -128,6 +128,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end: int = 1, part
             fs.move(own + tail, f"{root}/{name}{final}")
         yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "file": f"{path}/{name}", "records": len(index), "tokens": int(index["ids"].sum())}])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm import text as T
+from corvid.llm.scratch import bounded_batches
 
 #: Bytes of the stems that are terms beside the whole word, so that inflected forms share evidence.
 STEMS = (5, 7)
@@ -117,6 +118,7 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, dims: int, factors: int = 8,
 
 def train(docs: DataFrame, labels: DataFrame, dims: int = 1 << 20, sample_rows: int = 12_000, **options) -> Machine:
     """Fits on at most sample_rows labelled documents, none of them held out."""
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).filter("_toxic IS NOT NULL AND _id IS NOT NULL").filter(~held_out(F.col("_id")))
     chosen = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
