@@ -10,7 +10,8 @@ rounds t to 2t - 1 hash into bin i - t, so that every coordinate fills. With t =
 a pair of similarity 0.75 shares no band with probability 5e-6.
 
 Documents with equal sets are one class first, so that groups of copies cost one row. In each band
-bucket the members are verified against the least one; links are contracted to components. Then the
+bucket the members are verified against its centre, the member that meets most others over all bands
+(the original in a group of edited copies, which are nearer to it than to each other); links are contracted to components. Then the
 pairs of a bucket that are in different components still, and not yet tried, are verified too, so that
 each candidate pair is either tried or within one component. No step collects a group into one task.
 
@@ -127,12 +128,41 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         mark = now
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the threshold."""
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of the intersection (both) and union (any) of their full sets."""
     a = sets.select(F.col("cls").alias("a"), F.col("elements").alias("x"))
     b = sets.select(F.col("cls").alias("b"), F.col("elements").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("any")).filter(100 * F.col("both") >= percent * F.col("any")).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("any"))
+
+
+def _linked(pairs: DataFrame, percent: int) -> DataFrame:
+    return pairs.filter(100 * F.col("both") >= percent * F.col("any")).select("a", "b")
+
+
+def _open_pairs(members: DataFrame, label: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket in different components that may link still: (a, b) with a < b.
+
+    members: (bucket, cls, a: the bucket's centre); stars: each member's exact similarity to its centre.
+    Pairs with a member of the centre's component on both sides are within one component. The Jaccard
+    distance is a metric, so that pairs whose distances to the centre differ by more than the link's
+    distance cannot link: the join is on rings of that width around the centre, and loses no link.
+    """
+    most = 1 - percent / 100
+    far = stars.select("a", F.col("b").alias("cls"), (1 - F.col("both") / F.col("any")).alias("far"))
+    named = members.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    centre = named.filter("cls = a").select("bucket", F.col("label").alias("home"))
+    placed = stage(
+        named.join(centre, "bucket").join(far, ["a", "cls"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))).select("bucket", "cls", "label", "home", "far", F.floor(F.col("far") / most).cast("int").alias("ring")),
+        "placed",
+    )
+    split = placed.filter("label <> home").select("bucket").distinct()
+    side = lambda df, c: df.select("bucket", "ring", F.col("cls").alias(c), F.col("label").alias(f"l{c}"), F.col("far").alias(f"f{c}"), (F.col("label") == F.col("home")).alias(f"h{c}"))
+    x = side(placed.filter("label <> home").withColumn("ring", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1))), "x")
+    y = side(placed.join(split, "bucket", "left_semi"), "y")
+    near = x.join(y, ["bucket", "ring"]).filter((F.col("lx") != F.col("ly")) & (F.col("hy") | (F.col("x") < F.col("y"))) & (F.abs(F.col("fx") - F.col("fy")) <= most + 1e-9))
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
@@ -163,20 +193,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.75,
         "classes",
     )
     banded = classes.select("cls", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("cls").alias("a"), F.count("*").alias("c")).filter("c > 1")
-    members = stage(banded.join(shared, "bucket"), "buckets")
-    stars = stage(members.filter("cls <> a").select("a", F.col("cls").alias("b")).distinct(), "stars")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
+    sized = stage(banded.join(shared, "bucket"), "sized")
+    company = sized.groupBy("cls").agg(F.sum("c").alias("met"))
+    met = stage(sized.join(company, "cls"), "met")
+    centres = met.groupBy("bucket").agg(F.max_by("cls", F.struct("met", "cls")).alias("a"))
+    members = stage(met.join(centres, "bucket"), "buckets")
+    pairs = members.filter("cls <> a").select("a", F.col("cls").alias("b")).distinct()
     asked = members.select("cls").distinct()
     sets = stage(full_sets(docs, classes.join(asked, "cls"), shingle), "sets")
-    links = stage(verified(stars, sets, percent), "links")
-
-    label = components(links)
-    named = members.filter("c > 2").select("bucket", "cls").join(label.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", F.coalesce("label", "cls").alias("label"))
-    split = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-    left = stage(named.join(split, "bucket"), "split")
-    x, y = (left.select("bucket", F.col("cls").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-    rest = x.join(y, "bucket").filter("a < b and la <> lb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = stage(verified(stage(rest, "rest"), sets, percent), "links")
+    stars = stage(measured(pairs, sets), "stars")
+    links = _linked(stars, percent)
+    rest = stage(_open_pairs(members.filter("c > 2"), components(links), stars, percent), "rest")
+    more = stage(_linked(measured(rest, sets), percent), "links")
     label = components(links.unionByName(more))
 
     known = signed.select("doc_id", "row_hash", "n_shingles", "cls").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
