@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 
 from corvid.llm.scratch import fresh_dir, stage
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without preallocated files, which would take megabytes for every state partition.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 _SEEN = "doc_id long, row_hash int, digest binary, sha binary, file string"
 
 
@@ -58,8 +61,9 @@ class StreamingDeduplicator:
         def save(df: DataFrame, batch_id: int) -> None:
             df.withColumn("version", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/{batch_id}")
 
-        before = self.spark.conf.get(_PROVIDER, None)
-        self.spark.conf.set(_PROVIDER, _ROCKS)
+        before = {k: self.spark.conf.get(k, None) for k in _STATE}
+        for k, v in _STATE.items():
+            self.spark.conf.set(k, v)
         try:
             state = (
                 self.spark.readStream.schema(_SEEN)
@@ -70,7 +74,8 @@ class StreamingDeduplicator:
             query = state.writeStream.outputMode("update").option("checkpointLocation", f"{self.path}/state").trigger(availableNow=True).foreachBatch(save).start()
             query.awaitTermination()
         finally:
-            self.spark.conf.set(_PROVIDER, before) if before else self.spark.conf.unset(_PROVIDER)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
 
     def state(self) -> DataFrame:
         """The latest (digest, keep_id, group_size, locator) of every digest seen."""
