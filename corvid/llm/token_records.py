@@ -21,6 +21,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -71,24 +72,31 @@ class Encoder:
     """Encodes whole texts with a tokenizers file, each distinct word of a piece once.
 
     The file's normaliser and pre-tokeniser break at white space, so that words can be encoded alone.
+    A worker remembers the ids of at most about `remember` words, over tasks too.
     """
 
-    def __init__(self, path: str, end: int):
+    def __init__(self, path: str, end: int, remember: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.end = end
+        self.end, self.remember = end, remember
+        self.memo: dict[bytes, bytes] = {}
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else "<u4")
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id after each, and their n+1 offsets."""
-        w = T.words(texts)
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in w.bytes_of()], add_special_tokens=False)]
-        sizes = np.array([len(x) for x in coded], np.int64)
-        flat = np.fromiter((i for x in coded for i in x), self.dtype, int(sizes.sum()))
-        starts = np.concatenate([[0], np.cumsum(sizes)])
+        w, memo = T.words(texts), self.memo
+        if len(memo) > self.remember:
+            memo.clear()
+        unique = w.bytes_of()
+        new = [x for x in unique if x not in memo]
+        for x, e in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True):
+            memo[x] = np.array(e.ids, self.dtype).tobytes()
+        coded = [memo[x] for x in unique]
+        flat = np.frombuffer(b"".join(coded), self.dtype)
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in coded], dtype=np.int64)]) // self.dtype.itemsize
         places, ends = T.ragged(starts, w.ids)
         own = ends[w.bounds]
         out = np.empty(len(places) + len(w), self.dtype)
@@ -99,6 +107,12 @@ class Encoder:
         return out, own + np.arange(len(w) + 1)
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str, end: int) -> Encoder:
+    """One encoder per worker."""
+    return Encoder(path, end)
+
+
 def write_records(docs: DataFrame, path: str, tokenizer: str, end: int = 1, partitions: int | None = None) -> DataFrame:
     """Writes files below path; returns their manifest (shard, file, records, tokens), one row per file.
 
@@ -106,7 +120,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end: int = 1, part
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = Encoder(tokenizer, end), TaskContext.get()
+        encoder, task = encoder_of(tokenizer, end), TaskContext.get()
         name, entries, offset = f"tokens-{task.partitionId():05d}", [], 0
         fs, root = _fs(path)
         fs.create_dir(root, recursive=True)
