@@ -38,7 +38,7 @@ from corvid.llm.scratch import bounded_batches, fresh_dir, stage
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
 #: Steps of one unit of log10.
 SCALE = 4096
-_PIECE = 2 * T.PIECE_BYTES
+_PIECE = T.PIECE_BYTES // 2
 
 
 def _hashes(w: T.Words) -> np.ndarray:
