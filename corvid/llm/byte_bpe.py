@@ -33,7 +33,7 @@ from corvid.llm import text as T
 from corvid.llm.scratch import bounded_batches
 
 #: Bytes of text in a block, at least one document.
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 6 << 20
 #: The rank of pairs that do not merge; and an entry that no first id matches.
 _NONE, _FREE = 65535, 1 << 62
 
@@ -233,7 +233,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, block_bytes: int = BLOCK_B
 
         block = _Block(split)
         for batch in batches:
-            for x in T.pieces(batch, most=T.PIECE_BYTES // 2):
+            for x in T.pieces(batch, most=T.PIECE_BYTES // 4):
                 block.add(T.column(x, "doc_id"), pc.fill_null(T.column(x, "text"), ""))
                 if block.bytes >= block_bytes:
                     yield row(block)
