@@ -75,7 +75,7 @@ class Encoder:
     A worker remembers the ids of at most about `remember` words, over tasks too.
     """
 
-    def __init__(self, path: str, end: int, remember: int = 250_000):
+    def __init__(self, path: str, end: int, remember: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
