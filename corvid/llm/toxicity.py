@@ -78,28 +78,33 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 def _raw(bias: float, w: np.ndarray, v: np.ndarray, at: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Raw scores, and the sum of factors per document."""
-    linear = np.bincount(doc, w[at], n)
-    sums = np.stack([np.bincount(doc, v[at, f], n) for f in range(v.shape[1])], axis=1) if len(at) else np.zeros((n, v.shape[1]))
-    squares = np.bincount(doc, (v[at] ** 2).sum(axis=1), n)
-    return bias + linear + 0.5 * ((sums**2).sum(axis=1) - squares), sums
+    out = bias + np.bincount(doc, w[at], n)
+    sums = np.zeros((n, v.shape[1]))
+    for f in range(v.shape[1]):  # one factor at a time bounds the memory
+        x = v[at, f]
+        sums[:, f] = np.bincount(doc, x, n)
+        out += 0.5 * (sums[:, f] ** 2 - np.bincount(doc, x * x, n))
+    return out, sums
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, dims: int, factors: int = 8, least_z: float = 4.0, epochs: int = 300, rate: float = 0.05, decay: tuple[float, float] = (1e-6, 1e-4), seed: int = 7) -> Machine:
-    """A machine from the distinct buckets of each document and labels 0 or 1, by Adam on the mean logistic loss.
+def fit(found: np.ndarray, offsets: np.ndarray, labels: np.ndarray, dims: int, factors: int = 8, least_z: float = 4.0, epochs: int = 300, rate: float = 0.05, decay: tuple[float, float] = (1e-6, 1e-4), seed: int = 7) -> Machine:
+    """A machine from the distinct buckets of all documents, their n+1 offsets and labels 0 or 1, by Adam on the mean logistic loss.
 
     The first third of the steps fits the additive weights alone, so that a term which is enough by itself gets its weight there.
     """
-    n, share = len(docs), float(labels.mean()) if len(labels) else 0.0
+    n, share = len(labels), float(labels.mean()) if len(labels) else 0.0
     none = np.zeros(0)
     if not 0 < share < 1:
         return Machine(float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), none.astype(np.int64), none, np.zeros((0, factors)), dims)
-    found, doc = np.concatenate(docs), np.repeat(np.arange(n), [len(d) for d in docs])
-    buckets, at = np.unique(found, return_inverse=True)
-    have, toxic = np.bincount(at), np.bincount(at, labels[doc])
+    sizes = np.diff(offsets)
+    have, toxic = np.bincount(found, minlength=dims), np.zeros(dims)
+    for i in np.flatnonzero(labels):  # a document has a bucket once
+        toxic[found[offsets[i] : offsets[i + 1]]] += labels[i]
     error = np.sqrt(np.maximum(have * share * (1 - share), 1e-9))
-    chosen = np.abs(toxic - have * share) / error >= least_z
-    buckets, keep = buckets[chosen], chosen[at]
-    at, doc = (np.cumsum(chosen) - 1)[at[keep]], doc[keep]
+    chosen = (have > 0) & (np.abs(toxic - have * share) / error >= least_z)
+    keep = chosen[found]
+    buckets = np.flatnonzero(chosen)
+    at, doc = (np.cumsum(chosen) - 1)[found[keep]], np.repeat(np.arange(n, dtype=np.int32), sizes)[keep]
     rng = np.random.default_rng(seed)
     params = [np.array([np.log(share / (1 - share))]), np.zeros(len(buckets)), rng.normal(0, 0.01, (len(buckets), factors))]
     mean, var = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -107,8 +112,7 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, dims: int, factors: int = 8,
         raw, sums = _raw(params[0][0], params[1], params[2], at, doc, n)
         g = (_logistic(raw) - labels) / n
         each = g[doc]
-        pairs = each[:, None] * (sums[doc] - params[2][at])
-        grads = [np.array([g.sum()]), np.bincount(at, each, len(buckets)) + decay[0] * params[1], np.stack([np.bincount(at, pairs[:, f], len(buckets)) for f in range(factors)], axis=1) + decay[1] * params[2]]
+        grads = [np.array([g.sum()]), np.bincount(at, each, len(buckets)) + decay[0] * params[1], np.stack([np.bincount(at, each * (sums[doc, f] - params[2][at, f]), len(buckets)) for f in range(factors)], axis=1) + decay[1] * params[2]]
         for p, d, m, s in list(zip(params, grads, mean, var, strict=True))[: 2 if step <= epochs // 3 else 3]:
             m += 0.1 * (d - m)
             s += 0.001 * (d * d - s)
@@ -131,8 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, dims: int = 1 << 20, sample_rows:
 
     rows = sample.select("text", "_toxic").mapInArrow(make, "toxic int, terms array<int>").toArrow()
     off, flat = T.lists(rows.column("terms").combine_chunks()) if rows.num_rows else (np.zeros(1, np.int64), pa.array([], pa.int32()))
-    values = flat.to_numpy().astype(np.int64)
-    return fit([values[off[i] : off[i + 1]] for i in range(rows.num_rows)], rows.column("toxic").to_numpy().astype(float), dims, **options)
+    return fit(flat.to_numpy(), off, rows.column("toxic").to_numpy().astype(float), dims, **options)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
