@@ -33,7 +33,7 @@ from corvid.llm import text as T
 from corvid.llm.scratch import bounded_batches
 
 #: Bytes of text in a block, at least one document.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: The rank of pairs that do not merge; and an entry that no first id matches.
 _NONE, _FREE = 65535, 1 << 62
 
@@ -158,7 +158,6 @@ class _Block:
     def __init__(self, split):
         self.split = split
         self.number: dict[str, int] = {}
-        self.units: dict[bytes, list[int]] = {}
         self.docs: list[pa.Array] = []
         self.places: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
@@ -176,13 +175,8 @@ class _Block:
             start[offsets[:-1][odd]] = True
         at = np.flatnonzero(start)
         coded = T.binary_array(data, np.append(at, len(data)) if len(at) else np.zeros(1)).dictionary_encode()
-        number, units = self.number, self.units
-        own = []
-        for unit in coded.dictionary.to_pylist():
-            found = units.get(unit)
-            if found is None:
-                found = units[unit] = [number.setdefault(x, len(number)) for x in self.split(unit.decode())]
-            own.append(found)
+        number = self.number
+        own = [[number.setdefault(x, len(number)) for x in self.split(unit.decode())] for unit in coded.dictionary.to_pylist()]
         starts = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
         flat = np.fromiter((i for x in own for i in x), np.int32, int(starts[-1]))
         places, ends = T.ragged(starts, coded.indices.to_numpy())
@@ -209,8 +203,6 @@ def encode(docs: DataFrame, ranks: str, pattern: str, block_bytes: int = BLOCK_B
     """
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
         split, library = regex.compile(pattern).findall, None
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
 
@@ -220,6 +212,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, block_bytes: int = BLOCK_B
             long = np.array([len(w) > longest for w in found], bool)
             short = [w for w in found if len(w) <= longest]
             if long.any():
+                import tiktoken
+
                 library = library or tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks), special_tokens={})
                 to = np.where(long, len(short) + np.cumsum(long) - 1, np.cumsum(~long) - 1)
                 places, extra = to[places].astype("<i4"), [library._encode_single_piece(w) for w in found if len(w) > longest]
