@@ -169,7 +169,6 @@ def map_strategy(spark, d):
     return T.normalise_findings(p).select("cve_id", F.col("remediation_strategy").alias("strategy"), "gated")
 
 
-@query("scan_vulnerabilities", "SELECT count(*) AS n FROM part")
 @query("sink_vulnerabilities", "SELECT count(*) AS n FROM part")
 def sink_vulnerabilities(spark, d):
     from corvid.sources.files import findings_json
