@@ -1,14 +1,16 @@
-"""A word bigram model in an Elias-Fano trie, trained and queried in shards.
+"""A word n-gram model (of order 2 or 3) in an Elias-Fano trie, trained and queried in shards.
 
 Tokens are words with A-Z lower-cased, then one end token per text; an end stands before the first word.
 Level 1 has the sorted hashes of all training words, their counts and quantised backoff weights; a word's
-id is its rank. Level 2 has, per context, the ids of the words seen after it at least `least` times: a
-monotone pointer per context into one monotone sequence, in which a context's ids are relative to the
-last number before its range, so that a lookup is a successor search within that range. Probabilities
-are absolute-discounted, interpolated with the add-one unigram and quantised to steps of 2**-12 in log10;
-what is not in level 2 backs off by the context's weight, so that each context's probabilities sum to 1.
-
-Counts come from partial counts per piece of text. Level 1 is cut by ranges of the hash, level 2 by
+id is its rank. Level 2 has, per word, the ids of the words seen after it at least `least` times, and
+level 3 the same per pair: a monotone pointer per context into one monotone sequence, in which a context's
+ids are relative to the last number before its range, so that a lookup is a successor search within that
+range. Levels have absolute-discounted shares and the weight of the level below, each quantised to steps
+of 2**-12 in log10: a probability is the share, 0 where the level has none, plus the context's weight times
+the probability one level below, down to the add-one unigram, so that each context's sum to 1. A text's
+first token has the end before it as its whole context and stays at level 2.
+
+Counts come from partial counts per piece of text. Level 1 is cut by ranges of the hash, the others by
 ranges of (context, word) with any context free to span several shards, so that no frequent word loads
 one task. Levels are files in the shared folder, mapped into memory by the tasks that score, not sent to
 them. Shards grow in number with the session's shuffle partitions.
@@ -21,7 +23,7 @@ than doc_id and text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -71,14 +73,13 @@ class _Stream:
 
 @dataclass(frozen=True)
 class Model:
-    """Where the levels are. bits: log2 of level 1's shards; bases: first id of each of them; firsts: least key of each shard of level 2."""
+    """Where the levels are. bits: log2 of level 1's shards; bases: first id of each of them; levels: per level from 2 on, the least (context, word) and the number of each shard."""
 
     path: str
     bits: int
     bases: tuple[int, ...]
     tokens: int
-    firsts: tuple[int, ...] = ()
-    names: tuple[int, ...] = ()
+    levels: tuple[tuple[tuple[int, int, int], ...], ...] = ()
 
     @property
     def words(self) -> int:
@@ -96,9 +97,14 @@ def _backoff(path: str, shard: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=4096)
-def _level2(path: str, shard: int) -> tuple[np.ndarray, EliasFano, EliasFano, EliasFano, np.ndarray]:
-    p = f"{path}/pairs-{shard:05d}"
-    return load(f"{p}.range.npy"), EliasFano.load(f"{p}.contexts"), EliasFano.load(f"{p}.pointers"), EliasFano.load(f"{p}.ids"), load(f"{p}.codes.npy")
+def _level(path: str, level: int, shard: int) -> tuple[np.ndarray, EliasFano, EliasFano, EliasFano]:
+    p = f"{path}/level{level}-{shard:05d}"
+    return load(f"{p}.range.npy"), EliasFano.load(f"{p}.contexts"), EliasFano.load(f"{p}.pointers"), EliasFano.load(f"{p}.ids")
+
+
+@lru_cache(maxsize=4096)
+def _column(path: str, level: int, shard: int, name: str) -> np.ndarray:
+    return load(f"{path}/level{level}-{shard:05d}.{name}.npy")
 
 
 def _each(shards: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -137,31 +143,60 @@ def _counts(path: str, shard: int) -> np.ndarray:
     return _level1(path, shard)[1]
 
 
-def pair_codes(m: Model, keys: np.ndarray) -> np.ndarray:
-    """Quantised -log10 probability of pairs by key (context id * 2**32 + id), or -1."""
-    out = np.full(len(keys), -1)
-    if not m.firsts:
+def find(m: Model, level: int, context: np.ndarray, word: np.ndarray, *names: str) -> list[np.ndarray]:
+    """Columns of a level at (context, word), -1 where it has none. Contexts: ids at level 2, pairs (id * 2**32 + id) at level 3."""
+    out = [np.full(len(word), -1) for _ in names]
+    if len(m.levels) < level - 1 or not m.levels[level - 2]:
         return out
-    shards = np.searchsorted(np.array(m.firsts), keys, side="right") - 1
-    for shard, rows in _each(np.maximum(shards, 0)):
-        base, contexts, pointers, ids, codes = _level2(m.path, m.names[shard])
-        k = keys[rows]
-        context = contexts.find(((k >> 32) - base[0]).clip(0))
-        rows, k, context = (x[(context >= 0) & (k >> 32 >= base[0])] for x in (rows, k, context))
-        lo, hi = pointers.access(context).astype(np.int64), pointers.access(context + 1).astype(np.int64)
+    first, second, number = np.array(m.levels[level - 2]).T
+    at = np.searchsorted(first, context, side="right") - 1
+    while (over := (at >= 0) & (first[at] == context) & (second[at] > word)).any():
+        at[over] -= 1
+    for i, rows in _each(np.maximum(at, 0)):
+        shard = int(number[i])
+        base, contexts, pointers, ids = _level(m.path, level, shard)
+        c, w = context[rows], word[rows]
+        place = contexts.find((c - base[0]).clip(0))
+        rows, w, place = (x[(place >= 0) & (c >= base[0])] for x in (rows, w, place))
+        lo, hi = pointers.access(place).astype(np.int64), pointers.access(place + 1).astype(np.int64)
         before = np.zeros(len(lo), np.int64)
         before[lo > 0] = ids.access(lo[lo > 0] - 1)
-        at = ids.find(before + (k & 0xFFFFFFFF), lo, hi)
-        out[rows[at >= 0]] = codes[at[at >= 0]]
+        at_ = ids.find(before + w, lo, hi)
+        for o, name in zip(out, names, strict=True):
+            o[rows[at_ >= 0]] = _column(m.path, level, shard, name)[at_[at_ >= 0]]
     return out
 
 
+def _save_level(path: str, level: int, shard: int, context: np.ndarray, word: np.ndarray, **columns: np.ndarray) -> None:
+    """One shard from its sorted (context, word)."""
+    start = np.flatnonzero(np.diff(context, prepend=-1))
+    # Numbers of a context follow the last one before its range.
+    last = np.concatenate([word[start[1:] - 1], word[-1:]])
+    base = np.concatenate([[0], np.cumsum(last)])[:-1]
+    name = f"{path}/level{level}-{shard:05d}"
+    save(f"{name}.range.npy", np.array([context[0]]))
+    EliasFano.build(context[start] - context[0]).save(f"{name}.contexts")
+    EliasFano.build(np.append(start, len(word))).save(f"{name}.pointers")
+    EliasFano.build(word + np.repeat(base, np.diff(np.append(start, len(word))))).save(f"{name}.ids")
+    for k, v in columns.items():
+        save(f"{name}.{k}.npy", v)
+
+
 def _quantised(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(p) * SCALE), 0, 65535).astype(np.uint16)
 
 
-def train(docs: DataFrame, path: str | None = None, least: int = 2, discount: float = 0.75) -> Model:
-    """Counts and writes the levels from the texts of docs."""
+def _unquantised(codes: np.ndarray, none: float) -> np.ndarray:
+    return np.where(codes < 0, none, 10.0 ** (-codes / SCALE))
+
+
+def train(docs: DataFrame, path: str | None = None, least: int = 2, discount: float = 0.75, order: int = 2) -> Model:
+    """Counts and writes the levels from the texts of docs.
+
+    least: pairs and triples seen less often are left out, none at 1; order: 2, or 3 for triples too.
+    """
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     path = path or fresh_dir(spark, "language-model")
@@ -191,18 +226,28 @@ def train(docs: DataFrame, path: str | None = None, least: int = 2, discount: fl
     bases = np.concatenate([[0], np.cumsum([rows[i].words if i in rows else 0 for i in range(1 << bits)])])
     model = Model(path, bits, tuple(bases.tolist()), sum(r.tokens for r in rows.values()))
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs as keys, with the word that follows in the text, or -1."""
         for batch in batches:
             for x in T.pieces(batch, most=_PIECE):
                 s = _Stream.of(T.column(x, "text"))
                 ids, counts = word_ids(model, s.hashes)
-                often = counts >= least  # a pair is no more frequent than its words
+                n, often = len(ids), counts >= least  # a pair is no more frequent than its words
                 keep = often[s.tokens] & often[s.contexts]
-                key, c = np.unique((ids[s.contexts[keep]] << 32) | ids[s.tokens[keep]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], ["key", "c"])
-
-    counted = texts.mapInArrow(pairs, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
-    kept = stage(counted, "pairs")
+                follows = np.full(len(s.tokens), -1)
+                if order > 2 and len(follows):
+                    follows[:-1] = np.where((s.tokens[:-1] != n - 1) & often[s.tokens[1:]], s.tokens[1:], -1)
+                context, token, follows = s.contexts[keep], s.tokens[keep], follows[keep]
+                pair = context * n + token
+                if n > 1 << 20:  # n**3 would not fit
+                    pair = np.unique(pair, return_inverse=True)[1]
+                _, at, c = np.unique(pair * (n + 1) + follows + 1, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((ids[context[at]] << 32) | ids[token[at]]), pa.array(np.append(ids, -1)[follows[at]]), pa.array(c)], ["key", "next", "c"])
+
+    counted = stage(texts.mapInArrow(grams, "key long, next long, c long").groupBy("key", "next").agg(F.sum("c").alias("c")), "grams")
+    triples = counted.filter((F.col("next") >= 0) & (F.col("c") >= least))
+    above = F.sum(F.when((F.col("next") >= 0) & (F.col("c") >= least), F.col("c") - discount).otherwise(0.0))
+    kept = stage(counted.groupBy("key").agg(F.sum("c").alias("c"), above.alias("mass")).filter(F.col("c") >= least), "pairs")
     mass = kept.groupBy(F.shiftright("key", 32).alias("context")).agg(F.sum(F.col("c") - discount).alias("mass")).withColumn("shard", _range_shards(model, F.col("context")))
 
     def write_backoff(table: pa.Table) -> pa.Table:
@@ -217,35 +262,32 @@ def train(docs: DataFrame, path: str | None = None, least: int = 2, discount: fl
     every = spark.createDataFrame([(i, -1, 0.0) for i in rows], "shard long, context long, mass double").unionByName(mass.select("shard", "context", "mass"))
     every.groupBy("shard").applyInArrow(write_backoff, "shard long").collect()  # one row per shard
 
-    def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        full = [b for b in batches if b.num_rows]
-        if not full:
-            return
-        table = pa.Table.from_batches(full)
-        shard = TaskContext.get().partitionId()
-        key, c = table.column("key").to_numpy(), table.column("c").to_numpy()
-        context, word = key >> 32, key & 0xFFFFFFFF
-        start = np.flatnonzero(np.diff(context, prepend=-1))
-        # Numbers of a context follow the last one before its range.
-        last = np.concatenate([word[start[1:] - 1], word[-1:]])
-        base = np.concatenate([[0], np.cumsum(last)])[:-1]
-        relative = word + np.repeat(base, np.diff(np.append(start, len(key))))
-        total = model.tokens + model.words + 1
-        unigram = (_by_id(model, word, _counts) + 1) / total
-        p = (c - discount) / _by_id(model, context, _counts) + 10.0 ** (-_by_id(model, context, _backoff) / SCALE) * unigram
-        name = f"{path}/pairs-{shard:05d}"
-        save(f"{name}.range.npy", np.array([context[0]]))
-        EliasFano.build(context[start] - context[0]).save(f"{name}.contexts")
-        EliasFano.build(np.append(start, len(key))).save(f"{name}.pointers")
-        EliasFano.build(relative).save(f"{name}.ids")
-        save(f"{name}.codes.npy", _quantised(np.minimum(p, 1)))
-        yield pa.RecordBatch.from_pylist([{"shard": shard, "first": int(key[0])}])
-
-    written = kept.repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(write_pairs, "shard long, first long").collect()  # one row per shard
-    order = sorted(written, key=lambda r: r.first)
-    return Model(path, bits, model.bases, model.tokens, tuple(r.first for r in order), tuple(r.shard for r in order))
+    def write(level: int, model: Model):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            full = [b for b in batches if b.num_rows]
+            if not full:
+                return
+            table = pa.Table.from_batches(full)
+            shard = TaskContext.get().partitionId()
+            key, c = table.column("key").to_numpy(), table.column("c").to_numpy()
+            context, word = (key >> 32, key & 0xFFFFFFFF) if level == 2 else (key, table.column("next").to_numpy())
+            start = np.flatnonzero(np.diff(context, prepend=-1))
+            own = context[start]
+            total = _by_id(model, own, _counts) if level == 2 else find(model, 2, own >> 32, own & 0xFFFFFFFF, "counts")[0]
+            columns = {"codes": _quantised((c - discount) / np.repeat(total, np.diff(np.append(start, len(key)))))}
+            if level == 2 and order > 2:
+                columns |= {"counts": c.astype(np.min_scalar_type(int(c.max()))), "backoff": _quantised(1 - table.column("mass").to_numpy() / c)}
+            _save_level(path, level, shard, context, word, **columns)
+            yield pa.RecordBatch.from_pylist([{"first": int(context[0]), "second": int(word[0]), "shard": shard}])
+
+        return rows
+
+    for level, df, by in [(2, kept, ["key"]), (3, triples, ["key", "next"])][: order - 1]:
+        written = df.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(write(level, model), "first long, second long, shard long").collect()  # one row per shard
+        model = replace(model, levels=(*model.levels, tuple(sorted((r.first, r.second, r.shard) for r in written))))
+    return model
 
 
 def _range_shards(m: Model, id_: Column) -> Column:
@@ -265,14 +307,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 ids, counts = word_ids(model, s.hashes)
                 base = np.log10((counts + 1) / total)
                 context, token = s.contexts, s.tokens
-                weight = np.zeros(len(ids))
+                weight = np.ones(len(ids))
                 known = ids >= 0
-                weight[known] = -_by_id(model, ids[known], _backoff) / SCALE
-                each = weight[context] + base[token]
+                weight[known] = 10.0 ** (-_by_id(model, ids[known], _backoff) / SCALE)
+                each = weight[context] * ((counts + 1) / total)[token]
                 both = np.flatnonzero(known[context] & known[token])
-                key, at = np.unique((ids[context[both]] << 32) | ids[token[both]], return_inverse=True)
-                code = pair_codes(model, key)[at]
-                each[both[code >= 0]] = -code[code >= 0] / SCALE
+                pairs, at = np.unique((ids[context[both]] << 32) | ids[token[both]], return_inverse=True)
+                triples_too = len(model.levels) > 1
+                code, *more = find(model, 2, pairs >> 32, pairs & 0xFFFFFFFF, "codes", *["backoff"] * triples_too)
+                each[both] += _unquantised(code, 0.0)[at]
+                if triples_too:
+                    pair, weight = np.full(len(token), -1), np.ones(len(token))
+                    pair[both], weight[both] = at, _unquantised(more[0], 1.0)[at]
+                    after = np.flatnonzero(np.diff(s.doc) == 0) + 1  # all but first tokens
+                    each[after] *= weight[after - 1]
+                    seen = after[(pair[after - 1] >= 0) & known[token[after]]]
+                    two, at = np.unique(pair[seen - 1] * len(ids) + token[seen], return_inverse=True)
+                    each[seen] += _unquantised(find(model, 3, pairs[two // len(ids)], ids[two % len(ids)], "codes")[0], 0.0)[at]
+                each = np.log10(each)
                 per = lambda w: np.bincount(s.doc, w, n)
                 yield pa.RecordBatch.from_arrays(
                     [T.column(x, "doc_id"), pa.array(np.bincount(s.doc, minlength=n)), pa.array(per(counts[token] > 0).astype(np.int64)), pa.array(np.full(n, model.tokens)), pa.array(per(base[token])), pa.array(per(each))],

@@ -266,6 +266,36 @@ def test_language_model(docs, empty):
     assert len(none) == len(ROWS) and all(r.train_tokens == 0 and r.n_known == 0 for r in none)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model_whole_counts(docs, order):
+    """Pairs and triples that are seen once count."""
+    rows = [r for r in ROWS if r[0] != 3]
+    model = language_model.train(docs.filter("doc_id is null or doc_id <> 3"), least=1, order=order)
+    sents = lambda rows: [[*WORD.findall(lower(t)), b" "] for _, t in rows]
+    c = collections.Counter(x for s in sents(rows) for x in s)
+    pairs = collections.Counter(p for s in sents(rows) for p in zip([b" ", *s[:-1]], s, strict=True))
+    triples = collections.Counter(p for s in sents(rows) for p in zip([b" ", *s], s, s[1:], strict=False))
+    n, v = sum(c.values()), len(c)
+    after, after2 = collections.Counter(a for a, _ in pairs), collections.Counter((a, b) for a, b, _ in triples)
+    share = lambda k, total: max(k - 0.75, 0) / total
+    want = []
+    for (i, _), s in zip(ROWS, sents(ROWS), strict=True):
+        total = 0.0
+        for k, w in enumerate(s):
+            a = s[k - 1] if k else b" "
+            p = (c[w] + 1) / (n + v + 1)
+            if c[a]:
+                p = share(pairs[a, w], c[a]) + 0.75 * after[a] / c[a] * p
+            context = (s[k - 2] if k > 1 else b" ", a)
+            if order == 3 and k and pairs[context]:
+                p = share(triples[*context, w], pairs[context]) + 0.75 * after2[context] / pairs[context] * p
+            total += math.log10(p)
+        want.append((i or -1, len(s), total))
+    got = sorted((r.doc_id or -1, r.n_tokens, r.score) for r in language_model.score(docs, model).collect())
+    for g, w in zip(got, sorted(want), strict=True):
+        assert g[:2] == w[:2] and abs(g[2] - w[2]) < 3e-4 * w[1]
+
+
 @pytest.mark.parametrize("longest,block", [(96, 1 << 20), (8, 200)])
 def test_byte_bpe(docs, empty, longest, block):
     import tiktoken
