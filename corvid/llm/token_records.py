@@ -71,7 +71,8 @@ def _fs(path: str) -> tuple[pafs.FileSystem, str]:
 class Encoder:
     """Encodes whole texts with a tokenizers file, each distinct word of a piece once.
 
-    The file's normaliser and pre-tokeniser break at white space, so that words can be encoded alone.
+    The file's normaliser and pre-tokeniser break at white space and its added tokens hold none, so that
+    words can be encoded alone.
     A worker remembers the ids of at most about `remember` words, over tasks too.
     """
 
@@ -80,7 +81,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.end, self.remember = end, remember
         self.memo: dict[bytes, bytes] = {}
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else "<u4")

@@ -94,6 +94,19 @@ def test_token_records(spark, docs, empty, tmp_path):
     assert [x[1].tolist() for x in records.records(order)] == [x[1].tolist() for x in records.records()][::-1]
 
 
+def test_token_records_added_tokens():
+    """Added tokens in a text get their own ids, as a freshly loaded tokenizer gives them."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    texts = ["hello <|endoftext|> world foo<|startoftext|>bar", "<|endoftext|><|endoftext|>", "x\n<|STARTOFTEXT|>\t<|startoftext|>", "plain"]
+    ids, off = token_records.Encoder(path, 1).encode(pa.array(texts))
+    fresh = Tokenizer.from_file(path)
+    want = [[*fresh.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == want
+    assert 49407 in want[0] and 49406 in want[0]
+
+
 def test_frames_detect_damage():
     framed = token_records.frame(b"payload") + token_records.frame(b"")
     payload, at = token_records.unframe(framed)
