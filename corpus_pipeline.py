@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.llm import byte_bpe, exact_dedup, mixing, near_dedup, toxicity
-from corvid.llm.scratch import stage
+from corvid.llm.scratch import row_digest, stage
 from corvid.session import table
 
 
 def _rows(docs: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
     """docs joined with chosen (doc_id, row_hash and more) row by row; null doc_ids are equal here."""
     c = chosen.withColumnsRenamed({"doc_id": "_chosen_id", "row_hash": "_chosen_hash"})
-    return docs.join(c, docs["doc_id"].eqNullSafe(c["_chosen_id"]) & (F.hash(docs["text"]) == c["_chosen_hash"]), how)
+    return docs.join(c, docs["doc_id"].eqNullSafe(c["_chosen_id"]) & (row_digest(docs["text"]) == c["_chosen_hash"]), how)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,14 +20,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm.scratch import fresh_dir, stage
+from corvid.llm.scratch import fresh_dir, row_digest, stage
 
 #: State on disk; without preallocated files, which would take megabytes for every state partition.
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-_SEEN = "doc_id long, row_hash int, digest binary, sha binary, file string"
+_SEEN = "doc_id long, row_hash binary, digest binary, sha binary, file string"
 
 
 def normalised(text: Column | str) -> Column:
@@ -47,7 +47,7 @@ class StreamingDeduplicator:
 
     def ingest(self, docs: DataFrame) -> DataFrame:
         """Digests docs and runs them through the state; returns their rows of the digest table."""
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), normalised(F.col("text")).alias("text"), F.input_file_name().alias("file"))
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_digest(F.col("text")).alias("row_hash"), normalised(F.col("text")).alias("text"), F.input_file_name().alias("file"))
         n = getattr(self, "_batches", 0)
         self._batches = n + 1
         path = f"{self.path}/seen/batch={n}"
@@ -79,7 +79,7 @@ class StreamingDeduplicator:
 
     def state(self) -> DataFrame:
         """The latest (digest, keep_id, group_size, locator) of every digest seen."""
-        schema = "digest binary, keep_id long, group_size long, locator struct<file:string,row_hash:int>, version long"
+        schema = "digest binary, keep_id long, group_size long, locator struct<file:string,row_hash:binary>, version long"
         updates = self.spark.read.schema(schema).parquet(f"{self.path}/updates/*")
         return updates.groupBy("digest").agg(F.max_by(F.struct("keep_id", "group_size", "locator"), "version").alias("s")).select("digest", "s.*")
 
@@ -88,7 +88,7 @@ class StreamingDeduplicator:
 
 
 def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), "text")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_digest(F.col("text")).alias("row_hash"), "text")
     m = members.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "digest", "keep_id")
     return d.join(m, d.doc_id.eqNullSafe(m._id) & (d.row_hash == m._hash)).select("doc_id", "row_hash", "digest", "keep_id", normalised(F.col("text")).alias("text"))
 

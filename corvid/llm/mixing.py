@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvid.llm.scratch import stage
+from corvid.llm.scratch import row_digest, stage
 
 _SPLIT = "[\\x20\\x09-\\x0D]+"
 
@@ -56,7 +56,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", cells: int = 1024) -> DataFrame:
     """doc_id, row_hash, size, source_size, target, taken and copies (times the document is in the mix)."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"), quality(F.col("text")).alias("_q"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_digest(F.col("text")).alias("row_hash"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"), quality(F.col("text")).alias("_q"))
     u = uniform(F.col("doc_id"), seed)
     keyed = d.withColumn("_key", -F.log(u) / F.col("_q")).withColumn("_cell", F.floor(cells * (1 - F.exp(-F.col("_key")))).cast("int")).drop("_q")
     keyed = stage(keyed, "mix")  # texts are read once

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm import text as T
-from corvid.llm.scratch import bounded_batches, stage
+from corvid.llm.scratch import bounded_batches, row_digest, stage
 
 _BASE = 0x9E3779B97F4A7C15
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -90,7 +90,7 @@ def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _docs(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_digest(F.col("text")).alias("row_hash"), "text")
 
 
 def signatures(docs: DataFrame, shingle: int, t: int, rows: int) -> DataFrame:
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, shingle: int, t: int, rows: int) -> DataFrame:
                 flat = pa.array(keys[n > 0].reshape(-1).view(np.int64))
                 yield pa.RecordBatch.from_arrays([T.column(x, "doc_id"), T.column(x, "row_hash"), pa.array(n), pa.array(cls, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], ["doc_id", "row_hash", "n_shingles", "cls", "bands"])
 
-    return _docs(docs).mapInArrow(make, "doc_id long, row_hash int, n_shingles long, cls binary, bands array<long>")
+    return _docs(docs).mapInArrow(make, "doc_id long, row_hash binary, n_shingles long, cls binary, bands array<long>")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:

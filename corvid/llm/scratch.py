@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, list[str]] = {}
 
@@ -34,6 +35,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_digest(text: Column) -> Column:
+    """128 bits that tell texts apart where doc_ids are null or equal; null is a text of its own."""
+    return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))
+
+
 def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
     """Bounds the bytes of an Arrow batch to Python workers, where the session does not say: rows alone leave long texts unbounded."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.llm import text as T
-from corvid.llm.scratch import bounded_batches, fresh_dir, remove, stage
+from corvid.llm.scratch import bounded_batches, fresh_dir, remove, row_digest, stage
 
 _A, _B = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-_ROW = "doc_id long, row_hash int"
+_ROW = "doc_id long, row_hash binary"
 _RUN = f"fp long, span long, {_ROW}, first int, n int"
 
 
@@ -85,7 +85,7 @@ class FingerprintIndex:
         self._made = 0
 
     def _docs(self, docs: DataFrame) -> DataFrame:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row_hash"), "text")
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_digest(F.col("text")).alias("row_hash"), "text")
 
     def _name(self, kind: str) -> str:
         self._made += 1

@@ -321,6 +321,21 @@ def test_byte_bpe(docs, empty, longest, block):
     assert byte_bpe.encode(empty, path, P.PATTERN).count() == 0
 
 
+def test_rows_with_equal_32_bit_hashes(spark):
+    """Null doc_ids and texts whose 32-bit hashes collide: each row keeps its own text."""
+    texts = spark.range(300_000).select(F.regexp_replace(F.lit("a# b# c# d#"), "#", F.col("id").cast("string")).alias("t"))
+    a, b = texts.groupBy(F.hash("t")).agg(F.sort_array(F.collect_list("t")).alias("ts")).filter("size(ts) > 1").first().ts[:2]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    rows = [(None, a), (None, b), (None, a), (None, b)]
+    got = exact_dedup.exact_duplicates(frame(rows)).drop("row_hash").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, None, 2, True, hashlib.sha256(t.encode()).hexdigest()) for _, t in rows], key=str)
+    rows = [(None, a), (None, b), (1, a)]
+    assert sorted(map(tuple, FingerprintIndex(spark, width=3, gram=2).deduplicate(frame(rows)).collect()), key=str) == brute_substring([rows], 3)
+    long = [f"{t} {prose(70 + i, 60)}" for i, t in enumerate((a, b))]
+    rows = [(None, a), (None, b), (1, a), (2, long[0]), (3, long[0] + " end"), (None, long[1])]
+    assert sorted(map(tuple, near_dedup.near_duplicates(frame(rows)).drop("row_hash").collect()), key=str) == brute_components(rows)
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 1 << 63, 2000).astype(np.uint64)
