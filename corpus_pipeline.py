@@ -21,27 +21,40 @@ def _rows(docs: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
     return docs.join(c, docs["doc_id"].eqNullSafe(c["_chosen_id"]) & (row_digest(docs["text"]) == c["_chosen_hash"]), how)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a written number of each row."""
+    return stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def _one_of_each(docs: DataFrame, kept: DataFrame, group: str) -> DataFrame:
+    """Of each group of kept (doc_id, row_hash, group) the first row; rows of no group all stay."""
+    rows = _keyed(docs)
+    alone = F.when(F.col(group).isNull(), F.col("_row"))
+    chosen = _rows(rows.select("doc_id", "text", "_row"), kept.select("doc_id", "row_hash", group).distinct(), "inner")
+    first = chosen.groupBy(group, alone.alias("_alone")).agg(F.min("_row").alias("_row")).select("_row")
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5."""
     return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the least doc_id."""
-    kept = exact_dedup.exact_duplicates(docs).filter("kept").select("doc_id", "row_hash").distinct()
-    return _rows(docs, kept, "left_semi")
+    """Of equal texts one row, with the least doc_id."""
+    return _one_of_each(docs, exact_dedup.exact_duplicates(docs).filter("kept"), "text_sha256")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the least doc_id."""
-    kept = near_dedup.near_duplicates(docs).filter("kept").select("doc_id", "row_hash").distinct()
-    return _rows(docs, kept, "left_semi")
+    """Of each component of near duplicates one row, with the least doc_id."""
+    return _one_of_each(docs, near_dedup.near_groups(docs).filter("kept"), "label")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    taken = mixing.mix(docs).groupBy("doc_id", "row_hash").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    return _rows(docs, taken, "inner").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    rows = _keyed(docs)
+    taken = mixing.mix(rows, row=F.col("_row")).filter("copies > 0").select(F.col("row_hash").alias("_row"), F.col("copies").alias("_copies"))
+    return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,9 +54,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     return ranked.withColumn("_level", F.max("_each").over(all_)).select("source", "source_size", F.least(most * F.col("source_size"), F.col("_level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", cells: int = 1024) -> DataFrame:
-    """doc_id, row_hash, size, source_size, target, taken and copies (times the document is in the mix)."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_digest(F.col("text")).alias("row_hash"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"), quality(F.col("text")).alias("_q"))
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", cells: int = 1024, row: Column | None = None) -> DataFrame:
+    """doc_id, row_hash (or `row`, which tells rows apart), size, source_size, target, taken and copies (times the document is in the mix)."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (row_digest(F.col("text")) if row is None else row).alias("row_hash"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"), quality(F.col("text")).alias("_q"))
     u = uniform(F.col("doc_id"), seed)
     keyed = d.withColumn("_key", -F.log(u) / F.col("_q")).withColumn("_cell", F.floor(cells * (1 - F.exp(-F.col("_key")))).cast("int")).drop("_q")
     keyed = stage(keyed, "mix")  # texts are read once

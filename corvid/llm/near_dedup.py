@@ -180,7 +180,14 @@ def full_sets(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.75, t: int = 128, rows: int = 4) -> DataFrame:
-    """One row per document: doc_id, row_hash, n_shingles, component_id (least doc_id reachable) and kept.
+    """near_groups() without the label."""
+    return near_groups(docs, shingle, threshold, t, rows).drop("label")
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.75, t: int = 128, rows: int = 4) -> DataFrame:
+    """One row per document: doc_id, row_hash, n_shingles, component_id (least doc_id reachable), label and kept.
+
+    label: the same in each component and in no other; null for documents without words.
 
     shingle: at least 5 in production; threshold: share of the union; t and rows: coordinates of a
     sketch and of a band.
@@ -210,5 +217,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.75,
 
     known = signed.select("doc_id", "row_hash", "n_shingles", "cls").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = known.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    out = known.join(least, "label", "left").select("doc_id", "row_hash", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    out = known.join(least, "label", "left").select("doc_id", "row_hash", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "label")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -336,6 +336,23 @@ def test_rows_with_equal_32_bit_hashes(spark):
     assert sorted(map(tuple, near_dedup.near_duplicates(frame(rows)).drop("row_hash").collect()), key=str) == brute_components(rows)
 
 
+def test_pipeline_keeps_one_row_of_each_group(docs):
+    """Rows that repeat doc_id and text, and groups whose doc_ids are all null."""
+    import corpus_pipeline
+
+    spark = docs.sparkSession
+    rows = [(13, prose(5, 50)), (13, prose(5, 50)), (None, prose(4, 50)), (None, prose(4, 50)), (None, prose(4, 50) + " more"), (7, prose(7, 50)), (None, prose(7, 50)), (13, prose(8, 50)), (None, "")]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    plain = lambda df: sorted([(r.doc_id, r.text) for r in df.collect()], key=str)
+    exact = corpus_pipeline.drop_copies(spark, d, "")
+    assert exact.columns == d.columns
+    assert plain(exact) == sorted([rows[i] for i in (0, 2, 4, 5, 7, 8)], key=str)
+    near = corpus_pipeline.drop_near_copies(spark, d, "").collect()
+    assert sorted(str(r.doc_id) for r in near) == ["13", "13", "7", "None", "None"]
+    mixed = corpus_pipeline.mix_sources(spark, d, "")
+    assert mixed.count() == mixing.mix(d).agg(F.sum("copies")).first()[0]
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 1 << 63, 2000).astype(np.uint64)
