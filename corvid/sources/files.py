@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvid.staging import stage
+
 NODE = "struct<type:string,name:string,linkage:string,call_type:string,idx:long,function_type:string,address_taken:boolean,opcode:string,source_file:string,source_loc:string>"
 FACTS = f"struct<modules:map<string,struct<nodes:map<string,{NODE}>,edges:map<string,struct<kinds:array<string>>>>>>"
 
@@ -150,17 +152,26 @@ def extract_objects(objects: DataFrame, names: DataFrame) -> tuple[DataFrame, Da
     return objects.join(names, "name", "left_semi"), names.join(objects, "name", "left_anti")
 
 
-def read_stream(frames: DataFrame, stream: int, max_depth: int = 64) -> DataFrame:
-    """Bytes of one forking stream from frames (seq, stream, fork: parent at a fork or null, data): each ancestor's data up to the fork."""
-    forks = {r.stream: (r.fork, r.seq) for r in frames.filter("fork IS NOT NULL").select("stream", "fork", "seq").collect()}  # one row per stream
-    chain, upto, cond = stream, None, F.lit(False)
-    for _ in range(max_depth):
-        part = (F.col("stream") == chain) & F.col("data").isNotNull()
-        cond = cond | (part if upto is None else part & (F.col("seq") < upto))
-        if chain not in forks:
+def read_stream(frames: DataFrame, stream: int) -> DataFrame:
+    """Bytes of one forking stream from frames (seq, stream, fork: parent at a fork or null, data): each ancestor's data up to the fork.
+
+    The chain is followed to its root by pointers that double in length each step; a cycle is an error.
+    """
+    forks = stage(frames.filter("fork IS NOT NULL").groupBy("stream").agg(F.min(F.struct("seq", "fork")).alias("f")).select("stream", "f.fork", "f.seq"))
+    jumps, chain, most = forks.select("stream", "fork"), frames.sparkSession.range(1).select(F.lit(stream).cast("long").alias("stream")), forks.count()
+    reach = 1
+    while True:
+        up = stage(chain.join(jumps, "stream").select(F.col("fork").cast("long").alias("stream")))
+        if up.isEmpty():
             break
-        chain, upto = forks[chain]
-    return frames.filter(cond).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.hex("data").alias("h")))), lambda x: x["h"]), "").alias("h")).select(F.unhex("h").alias("data"))
+        if reach > most:
+            raise ValueError(f"the forks of stream {stream} form a cycle")
+        chain = stage(chain.unionByName(up).distinct())
+        far = jumps.select(F.col("stream").alias("fork"), F.col("fork").alias("next"))
+        jumps, reach = stage(jumps.join(far, "fork").select("stream", F.col("next").alias("fork"))), 2 * reach
+    upto = chain.join(forks, "stream").select(F.col("fork").alias("stream"), F.col("seq").alias("upto"))
+    parts = frames.filter("data IS NOT NULL").join(chain, "stream", "left_semi").join(upto, "stream", "left").filter("upto IS NULL OR seq < upto")
+    return parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.hex("data").alias("h")))), lambda x: x["h"]), "").alias("h")).select(F.unhex("h").alias("data"))
 
 
 RUNTIME = r"^\[(ARG|RET|BB|STACK|HEAP|RESOLVE)\]\s*(.*)$"

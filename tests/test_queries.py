@@ -8,7 +8,7 @@ import pytest
 from corvid.operators.intervals import reconcile
 from corvid.plans import registry
 from corvid.session import TABLES
-from corvid.sources.files import parse_ktest
+from corvid.sources.files import parse_ktest, read_stream
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["dijkstra_path", "graph_cfg", "distmap_blacklist", "tree_dfs", "agg_tree_info", "win_last_record", "filter_cve_chain", "join_sink_function", "join_interval_floor", "connected_constraints", "bv_add", "bv_shl", "q_validity", "validate_vuln_doc"]
@@ -54,3 +54,15 @@ def test_stack_reconcile():
     assert reconcile([(0, 10, "alloc"), (4, 2, "alloc")]) == [(0, 4, True), (4, 2, True), (6, 4, True)]
     assert reconcile([(0, 10, "alloc"), (0, 10, "free")]) == [(0, 10, False)]
     assert reconcile([(0, 4, "alloc"), (4, 4, "alloc"), (2, 4, "alloc")]) == [(0, 2, True), (2, 4, True), (6, 2, True)]
+
+
+def test_read_stream_follows_all_forks(spark):
+    rows = []
+    for i in range(100):
+        rows += [(4 * i, i, None, bytes([i])), (4 * i + 1, i + 1, i, None), (4 * i + 2, i, None, b"late")]
+    rows += [(1000, 100, None, b"end"), (1001, 500, None, b"other")]
+    kind = "seq long, stream long, fork long, data binary"
+    assert bytes(read_stream(spark.createDataFrame(rows, kind), 100).first().data) == bytes(range(100)) + b"end"
+    assert bytes(read_stream(spark.createDataFrame(rows, kind), 500).first().data) == b"other"
+    with pytest.raises(ValueError, match="cycle"):
+        read_stream(spark.createDataFrame([(1, 1, 2, None), (2, 2, 1, None)], kind), 1)
