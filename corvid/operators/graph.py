@@ -156,16 +156,18 @@ def min_distances(graph: DataFrame, sources: DataFrame, max_steps: int = 10_000)
     return seen
 
 
-def shortest_weighted(graph: DataFrame, queries: DataFrame, max_steps: int = 10_000) -> DataFrame:
-    """query_id, src, dst, cost, nodes and edges of each query's lightest path; of equal ones the shorter, then the least nodes.
-
-    Label-correcting: each step keeps the best path per query and node, and only improved ones go on.
-    """
-    hops = graph.groupBy("src", "dst").agg(F.min(F.struct("weight", "type")).alias("e")).select("src", "dst", "e.weight", "e.type")
-    best = stage(queries.select("query_id", F.col("src").alias("node"), F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array("src").alias("nodes"), F.array().cast("array<string>").alias("edges")).alias("b")))
-    front = best
-    for _ in range(max_steps):
-        moved = front.join(hops, front["node"] == hops["src"]).filter(~F.array_contains("b.nodes", F.col("dst")))
+def _hops(graph: DataFrame) -> DataFrame:
+    """The lightest edge of each (src, dst)."""
+    return graph.groupBy("src", "dst").agg(F.min(F.struct("weight", "type")).alias("e")).select("src", "dst", "e.weight", "e.type")
+
+
+def _lightest(hops: DataFrame, starts: DataFrame, max_steps: int) -> DataFrame:
+    """(query_id, node, b) of the best path to each node that goes on from the path b of starts (query_id, node, b, banned: next nodes not to take)."""
+    starts = stage(starts)
+    best = front = starts.drop("banned")
+    for i in range(max_steps):
+        moved = (front if i else starts).join(hops, F.col("node") == hops["src"]).filter(~F.array_contains("b.nodes", F.col("dst")))
+        moved = moved if i else moved.filter(~F.array_contains("banned", F.col("dst")))
         grown = F.struct((F.col("b.cost") + F.col("weight")).alias("cost"), (F.col("b.hops") + 1).alias("hops"), F.array_append("b.nodes", F.col("dst")).alias("nodes"), F.array_append("b.edges", F.col("type")).alias("edges"))
         found = moved.select("query_id", F.col("dst").alias("node"), grown.alias("b")).groupBy("query_id", "node").agg(F.min("b").alias("b"))
         old = best.withColumnRenamed("b", "old")
@@ -173,6 +175,17 @@ def shortest_weighted(graph: DataFrame, queries: DataFrame, max_steps: int = 10_
         if front.isEmpty():
             break
         best = stage(best.join(front.select("query_id", "node"), ["query_id", "node"], "left_anti").unionByName(front))
+    return best
+
+
+def shortest_weighted(graph: DataFrame, queries: DataFrame, max_steps: int = 10_000) -> DataFrame:
+    """query_id, src, dst, cost, nodes and edges of each query's lightest path; of equal ones the shorter, then the least nodes.
+
+    Label-correcting: each step keeps the best path per query and node, and only improved ones go on.
+    """
+    hops = _hops(graph)
+    start = F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array("src").alias("nodes"), F.array().cast("array<string>").alias("edges"))
+    best = _lightest(hops, queries.select("query_id", F.col("src").alias("node"), start.alias("b"), F.array().cast("array<string>").alias("banned")), max_steps)
     return queries.join(best, (queries["query_id"] == best["query_id"]) & (queries["dst"] == best["node"])).select(queries["query_id"], "src", "dst", "b.cost", "b.nodes", "b.edges")
 
 
@@ -181,12 +194,44 @@ def shortest_hops(graph: DataFrame, queries: DataFrame, max_steps: int = 10_000)
     return shortest_weighted(graph.withColumn("weight", F.lit(1.0)), queries, max_steps)
 
 
-def k_shortest(graph: DataFrame, queries: DataFrame, k: int, max_hops: int) -> DataFrame:
-    """Up to k lightest loopless paths of at most max_hops edges per query, exactly, with their rank.
+def yen(graph: DataFrame, queries: DataFrame, k: int, max_steps: int = 10_000) -> DataFrame:
+    """The k lightest loopless paths of each query, of any length: query_id, rank, cost, nodes and edges.
+
+    Yen: the next path is the best of those that leave a path found before at one of its nodes by an edge
+    that no found path with the same beginning takes. All spurs of all queries are searched at once.
+    """
+    hops, goals = _hops(graph), queries.filter("src <> dst").select("query_id", F.col("dst").alias("goal"))
+    first = shortest_weighted(graph, queries.filter("src <> dst"), max_steps)
+    last = stage(first.select("query_id", F.struct("cost", (F.size("nodes") - 1).alias("hops"), "nodes", "edges").alias("b")))
+    done, open_ = last.withColumn("rank", F.lit(1)), None
+    for rank in range(2, k + 1):
+        each = lambda df: df.select("query_id", "b", F.explode(F.sequence(F.lit(1), F.col("b.hops"))).alias("i")).select("query_id", "b", "i", F.slice("b.nodes", F.lit(1), F.col("i")).alias("root"))
+        taken = each(done).select("query_id", "root", F.element_at("b.nodes", F.col("i") + 1).alias("n")).groupBy("query_id", "root").agg(F.collect_set("n").alias("banned"))
+        spurs = each(last)
+        edges = F.slice("b.edges", F.lit(1), F.col("i") - 1)
+        weights = hops.select(F.col("src").alias("_u"), F.col("dst").alias("_v"), "weight")
+        steps = spurs.select("query_id", "i", F.explode(F.sequence(F.lit(1), F.col("i"))).alias("_k"), "root")
+        cost = steps.filter("_k < i").select("query_id", "i", F.element_at("root", F.col("_k")).alias("_u"), F.element_at("root", F.col("_k") + 1).alias("_v")).join(weights, ["_u", "_v"]).groupBy("query_id", "i").agg(F.sum("weight").alias("_cost"))
+        b = F.struct(F.coalesce("_cost", F.lit(0.0)).alias("cost"), (F.col("i") - 1).alias("hops"), F.col("root").alias("nodes"), edges.alias("edges"))
+        starts = spurs.join(cost, ["query_id", "i"], "left").join(taken, ["query_id", "root"]).select(F.struct("query_id", "i").alias("query_id"), F.element_at("root", -1).alias("node"), b.alias("b"), "banned")
+        ends = _lightest(hops, starts, max_steps).select("query_id.query_id", "node", "b").join(goals, "query_id").filter("node = goal").select("query_id", "b")
+        open_ = stage((ends if open_ is None else open_.unionByName(ends)).distinct())
+        last = stage(open_.groupBy("query_id").agg(F.min("b").alias("b")))
+        if last.isEmpty():
+            break
+        open_ = open_.join(last, ["query_id", "b"], "left_anti")
+        done = stage(done.unionByName(last.withColumn("rank", F.lit(rank))))
+    return done.select("query_id", "rank", "b.cost", "b.nodes", "b.edges")
+
+
+def k_shortest(graph: DataFrame, queries: DataFrame, k: int, max_hops: int | None = None) -> DataFrame:
+    """Up to k lightest loopless paths per query, exactly, with their rank; with max_hops only those of at most so many edges.
 
-    Paths that cannot reach their target in the edges left are dropped by the distance to it.
+    Without max_hops by yen(); with it paths that cannot reach their target in the edges left are dropped by the distance to it.
     """
-    hops = graph.groupBy("src", "dst").agg(F.min(F.struct("weight", "type")).alias("e")).select("src", "dst", "e.weight", "e.type")
+    if max_hops is None:
+        return yen(graph, queries, k)
+    hops = _hops(graph)
     back = stage(min_distances(hops.select(F.col("dst").alias("src"), F.col("src").alias("dst")), queries.select("query_id", F.col("dst").alias("node")), max_hops))
     front = queries.select("query_id", F.col("src").alias("node"), F.col("dst").alias("goal"), F.lit(0.0).alias("cost"), F.array("src").alias("nodes"), F.array().cast("array<string>").alias("edges"))
     done = []
@@ -201,7 +246,7 @@ def k_shortest(graph: DataFrame, queries: DataFrame, k: int, max_hops: int) -> D
     return reduce(DataFrame.unionByName, done).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "cost", "nodes", "edges")
 
 
-def run_queries(graph: DataFrame, queries: DataFrame, k: int = 1, max_hops: int = 8) -> DataFrame:
+def run_queries(graph: DataFrame, queries: DataFrame, k: int = 1, max_hops: int | None = None) -> DataFrame:
     """All queries on one graph; with k over 1 the k lightest paths."""
     return shortest_weighted(graph, queries).withColumn("rank", F.lit(1)) if k == 1 else k_shortest(graph, queries, k, max_hops)
 

@@ -5,6 +5,7 @@ import struct
 import duckdb
 import pytest
 
+from corvid.operators import graph as G
 from corvid.operators.intervals import reconcile
 from corvid.plans import registry
 from corvid.session import TABLES
@@ -66,3 +67,26 @@ def test_read_stream_follows_all_forks(spark):
     assert bytes(read_stream(spark.createDataFrame(rows, kind), 500).first().data) == b"other"
     with pytest.raises(ValueError, match="cycle"):
         read_stream(spark.createDataFrame([(1, 1, 2, None), (2, 2, 1, None)], kind), 1)
+
+
+def test_k_lightest_paths_of_any_length(spark):
+    """A ring of light edges with heavy chords: the lightest paths have more edges than any bound of a few."""
+    n = 12
+    light = [(str(i), str((i + 1) % n), "DirectCall", 1.0) for i in range(n)]
+    edges = light + [(a, b, "IndirectCall", 1e6) for a, b in (("0", "6"), ("3", "11"), ("5", "11"), ("6", "2"), ("0", "2"))]
+    out = {}
+    for a, b, _, w in edges:
+        out.setdefault(a, {})[b] = w
+
+    def paths(node, goal, cost, nodes):
+        if node == goal:
+            yield cost, len(nodes), nodes
+            return
+        for b, w in out[node].items():
+            if b not in nodes:
+                yield from paths(b, goal, cost + w, [*nodes, b])
+
+    asked = [(1, "0", "11"), (2, "4", "3"), (3, "7", "7")]
+    want = [(q, r, c, ns) for q, a, b in asked if a != b for r, (c, _, ns) in enumerate(sorted(paths(a, b, 0.0, [a]))[:3], 1)]
+    got = G.run_queries(spark.createDataFrame(edges, "src string, dst string, type string, weight double"), spark.createDataFrame(asked, "query_id long, src string, dst string"), k=3)
+    assert sorted((r.query_id, r.rank, r.cost, r.nodes) for r in got.collect()) == sorted(want)
