@@ -11,9 +11,11 @@ a pair of similarity 0.75 shares no band with probability 5e-6.
 
 Documents with equal sets are one class first, so that groups of copies cost one row. In each band
 bucket the members are verified against its centre, the member that meets most others over all bands
-(the original in a group of edited copies, which are nearer to it than to each other); links are contracted to components. Then the
-pairs of a bucket that are in different components still, and not yet tried, are verified too, so that
-each candidate pair is either tried or within one component. No step collects a group into one task.
+(the original in a group of edited copies, which are nearer to it than to each other); links are
+contracted to components. Members of a bucket in different components still are sought by what they have
+beside their centre, in an inverted index, and by the sizes of their differences from it (_open_pairs):
+all pairs that may link are verified, and their number follows what members share beside the centre,
+not the square of the bucket. No step collects a group into one task.
 
 Defined cases: null or empty text, or white space only: n_shingles 0, a component of its own; equal
 doc_ids with equal texts share all results; null doc_ids are allowed and never are a component's id
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm import text as T
@@ -129,40 +131,86 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the sizes of the intersection (both) and union (any) of their full sets."""
+    """The pairs (a, b) with the sizes of their full sets (na, nb) and of the intersection (both)."""
     a = sets.select(F.col("cls").alias("a"), F.col("elements").alias("x"))
     b = sets.select(F.col("cls").alias("b"), F.col("elements").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("any"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), F.size(F.array_intersect("x", "y")).alias("both"))
 
 
 def _linked(pairs: DataFrame, percent: int) -> DataFrame:
-    return pairs.filter(100 * F.col("both") >= percent * F.col("any")).select("a", "b")
+    return pairs.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _open_pairs(members: DataFrame, label: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket in different components that may link still: (a, b) with a < b.
+def _family(stars: DataFrame, label: DataFrame) -> DataFrame:
+    """The members of all families that have an open one: (a: the centre, b, n, more, less, label, open).
 
-    members: (bucket, cls, a: the bucket's centre); stars: each member's exact similarity to its centre.
-    Pairs with a member of the centre's component on both sides are within one component. The Jaccard
-    distance is a metric, so that pairs whose distances to the centre differ by more than the link's
-    distance cannot link: the join is on rings of that width around the centre, and loses no link.
+    stars: measured pairs of a centre and a member. more: elements the member has beside the centre's,
+    less: those it lacks. open: in another component than the centre.
     """
-    most = 1 - percent / 100
-    far = stars.select("a", F.col("b").alias("cls"), (1 - F.col("both") / F.col("any")).alias("far"))
-    named = members.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    centre = named.filter("cls = a").select("bucket", F.col("label").alias("home"))
-    placed = stage(
-        named.join(centre, "bucket").join(far, ["a", "cls"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))).select("bucket", "cls", "label", "home", "far", F.floor(F.col("far") / most).cast("int").alias("ring")),
-        "placed",
-    )
-    split = placed.filter("label <> home").select("bucket").distinct()
-    side = lambda df, c: df.select("bucket", "ring", F.col("cls").alias(c), F.col("label").alias(f"l{c}"), F.col("far").alias(f"f{c}"), (F.col("label") == F.col("home")).alias(f"h{c}"))
-    x = side(placed.filter("label <> home").withColumn("ring", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1))), "x")
-    y = side(placed.join(split, "bucket", "left_semi"), "y")
-    near = x.join(y, ["bucket", "ring"]).filter((F.col("lx") != F.col("ly")) & (F.col("hy") | (F.col("x") < F.col("y"))) & (F.abs(F.col("fx") - F.col("fy")) <= most + 1e-9))
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    named = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.col("nb").alias("n"), (F.col("nb") - F.col("both")).alias("more"), (F.col("na") - F.col("both")).alias("less"), F.col("na").alias("size"), F.coalesce("la", "a").alias("home"), F.coalesce("lb", "b").alias("label"))
+    placed = stage(named.withColumn("open", F.col("label") != F.col("home")), "family")
+    return placed.join(placed.filter("open").select("a").distinct(), "a", "left_semi")
+
+
+def _may_link(percent: int) -> Column:
+    """What the sizes alone leave possible: the symmetric difference of x and y is at least what their differences from the centre differ in number."""
+    apart = F.abs(F.col("xmore") - F.col("ymore")) + F.abs(F.col("xless") - F.col("yless"))
+    return (F.col("xlabel") != F.col("ylabel")) & ((100 + percent) * apart <= (100 - percent) * (F.col("xn") + F.col("yn")))
+
+
+def _sided(df: DataFrame, c: str, *by: str) -> DataFrame:
+    return df.select(*by, F.col("b").alias(c), *[F.col(k).alias(f"{c}{k}") for k in ("n", "more", "less", "label", "open")])
+
+
+def _sharing(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a family, one of them open, that share an element which the centre lacks and may link.
+
+    An inverted index on the elements members have beside the centre's. A link needs all but a share of
+    (100 - percent) % of either set, so that a member with more elements of its own than that is found
+    by the first of them alone. Elements of one component only are left out before members meet.
+    """
+    whole = lambda c, of: sets.select(F.col("cls").alias(c), F.col("elements").alias(of))
+    rest = F.floor((100 - percent) * F.col("n") / 100).cast("int") + 1
+    some = family.join(whole("a", "x"), "a").join(whole("b", "y"), "b")
+    listed = stage(some.select("a", "b", "n", "more", "less", "label", "open", F.explode(F.slice(F.array_except("y", "x"), F.lit(1), F.least(F.col("more"), rest))).alias("e")), "beside")
+    met = listed.groupBy("a", "e").agg(F.min("label").alias("_l"), F.max("label").alias("_m"), F.max("open").alias("_o")).filter("_l <> _m AND _o").select("a", "e")
+    index = stage(listed.join(met, ["a", "e"]), "index")
+    return _sided(index.filter("open"), "x", "a", "e").join(_sided(index, "y", "a", "e"), ["a", "e"]).filter(_may_link(percent)).select("x", "y")
+
+
+def _lacking(family: DataFrame, percent: int, cells: int = 24) -> DataFrame:
+    """Pairs (a, b) of a family, one of them open, that may link though they share nothing which the centre lacks.
+
+    Then their symmetric difference is xmore + ymore and what they lack differently. Members are grouped
+    by cells of (more, less); cells are paired where the bound can hold, and members within those.
+    """
+    apart = lambda more, gap: (100 + percent) * (more + gap)
+    width = F.greatest(F.lit(1), F.floor(F.col("size") / cells))
+    # Others have too much beside the centre's for a link that shares none of it.
+    able = family.filter(100 * F.col("more") <= (100 - percent) * F.col("n"))
+    gridded = able.withColumn("row", F.floor(F.col("more") / width).cast("int")).withColumn("col", F.floor(F.col("less") / width).cast("int"))
+    cell = gridded.groupBy("a", "row", "col").agg(F.min("more").alias("more"), F.min("less").alias("least"), F.max("less").alias("most"), F.max("n").alias("n"), F.max("open").alias("open"), F.min("label").alias("l"), F.max("label").alias("m"))
+    of = lambda c: cell.select("a", *[F.col(k).alias(f"{c}{k}") for k in cell.columns if k != "a"])
+    gap = F.greatest(F.lit(0), F.col("xleast") - F.col("ymost"), F.col("yleast") - F.col("xmost"))
+    mixed = (F.col("xl") != F.col("xm")) | (F.col("yl") != F.col("ym")) | (F.col("xl") != F.col("yl"))
+    near = of("x").filter("xopen").join(of("y"), "a").filter(mixed & (apart(F.col("xmore") + F.col("ymore"), gap) <= (100 - percent) * (F.col("xn") + F.col("yn")))).select("a", F.col("xrow").alias("row"), F.col("xcol").alias("col"), "yrow", "ycol")
+    x = _sided(gridded.filter("open"), "x", "a", "row", "col").join(near, ["a", "row", "col"]).drop("row", "col")
+    y = _sided(gridded, "y", "a", "row", "col").withColumnsRenamed({"row": "yrow", "col": "ycol"})
+    bound = apart(F.col("xmore") + F.col("ymore"), F.abs(F.col("xless") - F.col("yless"))) <= (100 - percent) * (F.col("xn") + F.col("yn"))
+    return x.join(y, ["a", "yrow", "ycol"]).filter((F.col("xlabel") != F.col("ylabel")) & bound).select("x", "y")
+
+
+def _open_pairs(stars: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one bucket in different components that may link still, a < b; loses no link.
+
+    Let X and Y be two members' differences from their centre, what they have beside it and what they lack.
+    |x ^ y| = |X ^ Y|, so that a pair either shares an element beside the centre's or its distance is
+    given but for what both lack. Both kinds are sought without comparing all members of a bucket.
+    """
+    family = stage(_family(stars, label), "families")
+    found = _sharing(family, sets, percent).unionByName(_lacking(family, percent))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
@@ -206,14 +254,20 @@ def near_groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.75, t: i
     met = stage(sized.join(company, "cls"), "met")
     centres = met.groupBy("bucket").agg(F.max_by("cls", F.struct("met", "cls")).alias("a"))
     members = stage(met.join(centres, "bucket"), "buckets")
-    pairs = members.filter("cls <> a").select("a", F.col("cls").alias("b")).distinct()
+    pairs = members.filter("cls <> a").groupBy("a", F.col("cls").alias("b")).agg(F.max(F.col("c") > 2).alias("more"))
     asked = members.select("cls").distinct()
     sets = stage(full_sets(docs, classes.join(asked, "cls"), shingle), "sets")
-    stars = stage(measured(pairs, sets), "stars")
+    stars = stage(measured(pairs.select("a", "b"), sets).join(pairs, ["a", "b"]), "stars")
     links = _linked(stars, percent)
-    rest = stage(_open_pairs(members.filter("c > 2"), components(links), stars, percent), "rest")
-    more = stage(_linked(measured(rest, sets), percent), "links")
-    label = components(links.unionByName(more))
+    near = stage(components(links), "near")
+    rest = stage(_open_pairs(stars.filter("more").drop("more"), near, sets, percent), "rest")
+    # The links found last join whole components.
+    of = lambda c: near.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    more = _linked(measured(rest, sets), percent).join(of("a"), "a", "left").join(of("b"), "b", "left")
+    joined = components(more.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+    last = joined.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    label = near.join(last, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    label = label.unionByName(last.join(near, last["label"] == near["node"], "left_anti").select(F.col("label").alias("node"), F.col("to").alias("label")))
 
     known = signed.select("doc_id", "row_hash", "n_shingles", "cls").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = known.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))

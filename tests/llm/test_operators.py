@@ -400,3 +400,20 @@ def test_near_dedup_chains(spark):
     rows = [(100 - i, " ".join(words[4 * i : 4 * i + 60])) for i in range(40)] + [(200 + i, prose(60 + i, 60)) for i in range(5)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, near_dedup.near_duplicates(d).drop("row_hash").collect()), key=str) == brute_components(rows)
+
+
+def test_near_dedup_large_group(spark):
+    """Edited copies near and far from their original, cut copies, and copies of a far copy: all links, none by squares."""
+    import random
+
+    r, words = random.Random(5), prose(70, 160).split()
+
+    def edited(ws, share):
+        return [prose(r.randrange(10**6), 1) if r.random() < share else w for w in ws]
+
+    far = edited(words, 0.12)
+    texts = [edited(words, r.choice((0.01, 0.02, 0.03, 0.05, 0.1, 0.2))) for _ in range(150)]
+    texts += [words[: 160 - 2 * i] for i in range(40)] + [words[3 * i :] for i in range(25)] + [edited(far, 0.02) for _ in range(60)] + [edited(words[: r.randrange(60, 160)], 0.01) for _ in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, near_dedup.near_duplicates(d).drop("row_hash").collect()), key=str) == brute_components(rows)
