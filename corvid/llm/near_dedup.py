@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvid.llm import text as T
 from corvid.llm.scratch import bounded_batches, row_digest, stage
@@ -153,34 +154,34 @@ def _family(stars: DataFrame, label: DataFrame) -> DataFrame:
     return placed.join(placed.filter("open").select("a").distinct(), "a", "left_semi")
 
 
-def _may_link(percent: int) -> Column:
-    """What the sizes alone leave possible: the symmetric difference of x and y is at least what their differences from the centre differ in number."""
-    apart = F.abs(F.col("xmore") - F.col("ymore")) + F.abs(F.col("xless") - F.col("yless"))
-    return (F.col("xlabel") != F.col("ylabel")) & ((100 + percent) * apart <= (100 - percent) * (F.col("xn") + F.col("yn")))
-
-
 def _sided(df: DataFrame, c: str, *by: str) -> DataFrame:
-    return df.select(*by, F.col("b").alias(c), *[F.col(k).alias(f"{c}{k}") for k in ("n", "more", "less", "label", "open")])
+    return df.select(*by, F.col("b").alias(c), *[F.col(k).alias(f"{c}{k}") for k in ("n", "more", "less", "label", "open")], *([F.col("at").alias(f"{c}at")] if "at" in df.columns else []))
 
 
 def _sharing(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a family, one of them open, that share an element which the centre lacks and may link.
+    """Pairs (x, y) of a family, one of them open, that share an element which the centre lacks and may link.
 
-    An inverted index on the elements members have beside the centre's. A link needs all but a share of
-    (100 - percent) % of either set, so that a member with more elements of its own than that is found
-    by the first of them alone. Elements of one component only are left out before members meet.
+    An inverted index on the elements members have beside the centre's, each member's in order of the
+    family's counts, rare ones first. A link needs all but a share of (100 - percent) % of either set, so
+    that a member with more elements of its own than that is found by the first of them alone, and passages
+    that many members share come last. Where members meet first, at places xat and yat, they can share no
+    more than what follows. Elements of one component only are left out before members meet.
     """
     whole = lambda c, of: sets.select(F.col("cls").alias(c), F.col("elements").alias(of))
     rest = F.floor((100 - percent) * F.col("n") / 100).cast("int") + 1
     some = family.join(whole("a", "x"), "a").join(whole("b", "y"), "b")
-    listed = stage(some.select("a", "b", "n", "more", "less", "label", "open", F.explode(F.slice(F.array_except("y", "x"), F.lit(1), F.least(F.col("more"), rest))).alias("e")), "beside")
-    met = listed.groupBy("a", "e").agg(F.min("label").alias("_l"), F.max("label").alias("_m"), F.max("open").alias("_o")).filter("_l <> _m AND _o").select("a", "e")
-    index = stage(listed.join(met, ["a", "e"]), "index")
-    return _sided(index.filter("open"), "x", "a", "e").join(_sided(index, "y", "a", "e"), ["a", "e"]).filter(_may_link(percent)).select("x", "y")
+    listed = stage(some.select("a", "b", "n", "more", "less", "label", "open", F.explode(F.array_except("y", "x")).alias("e")), "beside")
+    met = listed.groupBy("a", "e").agg(F.count("*").alias("c"), (F.max("open") & (F.min("label") != F.max("label"))).alias("mixed"))
+    places = Window.partitionBy("a", "b").orderBy("c", "e")
+    index = stage(listed.join(met, ["a", "e"]).withColumn("at", F.row_number().over(places)).filter(F.col("mixed") & (F.col("at") <= rest)).drop("mixed", "c"), "index")
+    shared = 1 + F.least(F.col("xmore") - F.col("xat"), F.col("ymore") - F.col("yat"))
+    apart = F.col("xmore") + F.col("ymore") + F.abs(F.col("xless") - F.col("yless")) - 2 * shared
+    may = (F.col("xlabel") != F.col("ylabel")) & ((100 + percent) * apart <= (100 - percent) * (F.col("xn") + F.col("yn")))
+    return _sided(index.filter("open"), "x", "a", "e").join(_sided(index, "y", "a", "e"), ["a", "e"]).filter(may).select("x", "y")
 
 
 def _lacking(family: DataFrame, percent: int, cells: int = 24) -> DataFrame:
-    """Pairs (a, b) of a family, one of them open, that may link though they share nothing which the centre lacks.
+    """Pairs (x, y) of a family, one of them open, that may link though they share nothing which the centre lacks.
 
     Then their symmetric difference is xmore + ymore and what they lack differently. Members are grouped
     by cells of (more, less); cells are paired where the bound can hold, and members within those.
@@ -252,9 +253,14 @@ def near_groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.75, t: i
     sized = stage(banded.join(shared, "bucket"), "sized")
     company = sized.groupBy("cls").agg(F.sum("c").alias("met"))
     met = stage(sized.join(company, "cls"), "met")
-    centres = met.groupBy("bucket").agg(F.max_by("cls", F.struct("met", "cls")).alias("a"))
-    members = stage(met.join(centres, "bucket"), "buckets")
-    pairs = members.filter("cls <> a").groupBy("a", F.col("cls").alias("b")).agg(F.max(F.col("c") > 2).alias("more"))
+    tops = met.groupBy("bucket").agg(F.max(F.struct("met", "cls")).alias("top"))
+    members = stage(met.join(tops, "bucket").select("bucket", "cls", "c", "top"), "buckets")
+    # The centre of a bucket may be an edited copy itself: families are around the greatest centre its centre meets.
+    up = stage(members.groupBy("cls").agg(F.max("top").alias("top")).select("cls", F.col("top.cls").alias("to")), "centres")
+    twice = up.join(up.select(F.col("cls").alias("to"), F.col("to").alias("root")), "to").select(F.col("cls").alias("a"), "root")
+    star = members.select(F.col("top.cls").alias("a"), F.col("cls").alias("b"), "c")
+    family = star.filter("c > 2").join(twice, "a").select(F.col("root").alias("a"), "b")
+    pairs = star.select("a", "b", F.lit(False).alias("more")).unionByName(family.select("a", "b", F.lit(True).alias("more"))).filter("a <> b").groupBy("a", "b").agg(F.max("more").alias("more"))
     asked = members.select("cls").distinct()
     sets = stage(full_sets(docs, classes.join(asked, "cls"), shingle), "sets")
     stars = stage(measured(pairs.select("a", "b"), sets).join(pairs, ["a", "b"]), "stars")
