@@ -1,16 +1,18 @@
 """Byte-level BPE encoding and decoding by higher-order functions over distinct words.
 
-Texts are cut into blocks of whole documents. In a block, the distinct matches of the split pattern
-("words") are numbered, and the documents become sequences of those numbers. A column expression then
-folds the ranked merges over the byte array of every distinct word of the block, with the ranks of all
-mergeable pairs in a literal table, and decodes by concatenating each id's binary piece. Last, the ids
-of the words are put in the documents' order. Nothing is shuffled, and memory follows the block.
+Words are the matches of the split pattern. A column expression folds the ranked merges over the byte
+array of a distinct word, with the ranks of all mergeable pairs in a literal table, and decodes by
+concatenating each id's binary piece. First the `common` most frequent words of a sample are merged once
+for all: a dictionary of bounded size, which saves work and decides nothing. Then texts are cut into
+blocks of whole documents. In a block, the distinct words are numbered, the documents become sequences of
+those numbers, the words that are not in the dictionary are merged, and the ids of all are put in the
+documents' order. Texts are not shuffled, and memory follows the block.
 
 The literal table maps a pair of ids to its rank by displacement hashing (slot: key mod slots, moved by
 what its bucket, key mod buckets, says), so that a lookup is two array accesses, not a scan of a map.
 
 The fold takes time by the square of a word's length; words of more than `longest` bytes are merged by
-the tokeniser library's own routine instead, whole and to the same ids.
+the same ranks in a linked list with a heap, whole and to the same ids.
 
 Defined cases: null text counts as empty and has no ids; null and repeated doc_ids are kept as they are;
 columns other than doc_id and text are ignored; an empty table gives an empty result.
@@ -19,6 +21,9 @@ columns other than doc_id and text are ignored; an empty table gives an empty re
 from __future__ import annotations
 
 import base64
+import heapq
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -93,6 +98,12 @@ def _tables(path: str) -> tuple[list[bytes], list[int], np.ndarray, np.ndarray]:
     return tokens, alone, two, *displacement_table(pairs)
 
 
+@lru_cache(maxsize=4)
+def _pairs(path: str) -> tuple[list[int], dict[tuple[int, int], int]]:
+    ranks = load_ranks(path)
+    return [ranks[bytes([b])] for b in range(256)], mergeable(ranks)
+
+
 def _literal(values, kind: str) -> Column:
     """An array literal: the optimiser folds the split and the cast into one constant."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
@@ -139,6 +150,29 @@ def merge_expression(path: str):
     return merge
 
 
+def merge_long(word: bytes, path: str) -> list[int]:
+    """The ids of one word by the same rule, in time by its length: a linked list of tokens and a heap of its pairs."""
+    first, pairs = _pairs(path)
+    ids = [first[b] for b in word]
+    n = len(ids)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids[:-1], ids[1:], strict=True)) if (r := pairs.get((a, b))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, i, a, b = heapq.heappop(heap)
+        j = after[i]
+        if j >= n or ids[i] != a or ids[j] != b:
+            continue  # one of both has been merged since
+        ids[i], ids[j], after[i] = rank, -1, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for left in (before[i], i):
+            right = after[left] if left >= 0 else n
+            if right < n and (r := pairs.get((ids[left], ids[right]))) is not None:
+                heapq.heappush(heap, (r, left, ids[left], ids[right]))
+    return [x for x in ids if x >= 0]
+
+
 def piece_expression(path: str):
     """A function from an array of ids to the bytes they stand for."""
     pieces = F.split(F.lit(",".join(t.hex() for t in _tables(path)[0])), ",")
@@ -146,7 +180,7 @@ def piece_expression(path: str):
 
 
 class _Block:
-    """The numbered distinct words of a block, and its documents as sequences of their numbers.
+    """The numbered distinct words of a block, after those of the dictionary, and its documents as sequences of their numbers.
 
     A text is cut before each run of ASCII white space first: the pattern's matches do not cross such a
     cut where white space of other kinds is absent, so that every distinct unit is matched once. Texts
@@ -155,8 +189,8 @@ class _Block:
 
     _OTHER = "[\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
-    def __init__(self, split):
-        self.split = split
+    def __init__(self, split, common: dict[str, int]):
+        self.split, self.common = split, common
         self.number: dict[str, int] = {}
         self.docs: list[pa.Array] = []
         self.places: list[np.ndarray] = []
@@ -175,8 +209,8 @@ class _Block:
             start[offsets[:-1][odd]] = True
         at = np.flatnonzero(start)
         coded = T.binary_array(data, np.append(at, len(data)) if len(at) else np.zeros(1)).dictionary_encode()
-        number = self.number
-        own = [[number.setdefault(x, len(number)) for x in self.split(unit.decode())] for unit in coded.dictionary.to_pylist()]
+        number, common, base = self.number, self.common, len(self.common)
+        own = [[c if (c := common.get(x)) is not None else number.setdefault(x, base + len(number)) for x in self.split(unit.decode())] for unit in coded.dictionary.to_pylist()]
         starts = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
         flat = np.fromiter((i for x in own for i in x), np.int32, int(starts[-1]))
         places, ends = T.ragged(starts, coded.indices.to_numpy())
@@ -185,9 +219,6 @@ class _Block:
         self.counts.append(np.diff(ends[np.searchsorted(at, offsets)]))
         self.bytes += len(data)
 
-    def words(self) -> list[bytes]:
-        return [x.encode() for x in self.number]
-
 
 def _joined(ids: pa.Array, decoded: pa.Array, bounds: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
     """Number of ids, ids and bytes of each document, from those of its words in order."""
@@ -196,27 +227,73 @@ def _joined(ids: pa.Array, decoded: pa.Array, bounds: np.ndarray) -> tuple[pa.Ar
     return pa.array(np.diff(n[bounds]) // 4), T.binary_array(raw, n[bounds]), T.binary_array(text, m[bounds])
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, block_bytes: int = BLOCK_BYTES, longest: int = 96) -> DataFrame:
+def _bytes_of(words: Column) -> Column:
+    """Byte values of a word given as text."""
+    return F.transform(F.sequence(F.lit(1), F.octet_length(words)), lambda i: F.conv(F.hex(F.substring(F.encode(words, "UTF-8"), i, F.lit(1))), 16, 10).cast("int"))
+
+
+def common_words(docs: DataFrame, ranks: str, pattern: str, common: int, sample_rows: int, longest: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """At most `common` words, the most frequent ones of about sample_rows rows, their ids (32-bit little-endian) and the bytes of these."""
+    rows = docs.count() if common else 0
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = regex.compile(pattern).findall
+        for batch in batches:
+            for x in T.pieces(batch, most=T.PIECE_BYTES // 4):
+                found: Counter[str] = Counter()
+                for text in T.column(x, "text").to_pylist():
+                    found.update(split(text or ""))
+                often = [(w, c) for w, c in found.items() if c > 1 and len(w) <= longest // 4]
+                if often:
+                    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in often]), pa.array([c for _, c in often])], ["word", "c"])
+
+    if not common:
+        return pa.array([], pa.string()), pa.array([], pa.binary()), pa.array([], pa.binary())
+    sample = docs.select("text") if rows <= sample_rows else docs.select("text").sample(sample_rows / rows, 1)
+    counted = sample.mapInArrow(T.released(count), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    most = counted.orderBy(F.desc("c"), "word").limit(common).repartition(F.col("word"))
+    ids = most.select("word", merge_expression(ranks)(_bytes_of(F.col("word"))).alias("ids"))
+    found = ids.select("word", "ids", piece_expression(ranks)(F.col("ids")).alias("piece")).toArrow().combine_chunks()
+    off, flat = T.lists(_whole(found.column("ids")))
+    return _whole(found.column("word")), T.binary_array(flat.to_numpy().astype("<u4").view(np.uint8), off * 4), _whole(found.column("piece"))
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+_DICTIONARY: dict[str, dict[str, int]] = {}
+
+
+def _numbers(key: str, words: pa.Array) -> dict[str, int]:
+    """Number by word; a worker keeps those of one dictionary, that of key."""
+    if key not in _DICTIONARY:
+        _DICTIONARY.clear()
+        _DICTIONARY[key] = {w: i for i, w in enumerate(words.to_pylist())}
+    return _DICTIONARY[key]
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, block_bytes: int = BLOCK_BYTES, longest: int = 96, common: int = 200_000, sample_rows: int = 20_000) -> DataFrame:
     """doc_id, n_tokens, ids (32-bit little-endian) and decoded (bytes) of every document.
 
-    ranks: a rank file's path on every machine; pattern: the split pattern of its tokeniser.
+    ranks: a rank file's path on every machine; pattern: the split pattern of its tokeniser; common and
+    sample_rows bound the dictionary, none at common 0.
     """
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(common_words(docs, ranks, pattern, common, sample_rows, longest))
+    key = uuid.uuid4().hex
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, library = regex.compile(pattern).findall, None
+        split, known = regex.compile(pattern).findall, _numbers(key, shared.value[0])
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
 
         def row(block: _Block) -> pa.RecordBatch:
-            nonlocal library
-            found, places, extra = block.words(), np.concatenate(block.places), []
+            found, places, extra = [x.encode() for x in block.number], np.concatenate(block.places), []
             long = np.array([len(w) > longest for w in found], bool)
             short = [w for w in found if len(w) <= longest]
             if long.any():
-                import tiktoken
-
-                library = library or tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks), special_tokens={})
-                to = np.where(long, len(short) + np.cumsum(long) - 1, np.cumsum(~long) - 1)
-                places, extra = to[places].astype("<i4"), [library._encode_single_piece(w) for w in found if len(w) > longest]
+                to = np.where(long, len(short) + np.cumsum(long) - 1, np.cumsum(~long) - 1) + len(known)
+                places, extra = np.concatenate([np.arange(len(known)), to])[places].astype("<i4"), [merge_long(w, ranks) for w in found if len(w) > longest]
             lengths = np.concatenate([[0], np.cumsum([len(w) for w in short])])
             arrays = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.frombuffer(b"".join(short), np.uint8).astype(np.int32)))
             ends = np.concatenate([[0], np.cumsum(np.concatenate(block.counts))]).astype("<i8")
@@ -225,37 +302,38 @@ def encode(docs: DataFrame, ranks: str, pattern: str, block_bytes: int = BLOCK_B
                 ["docs", "ends", "places", "words", "extra"],
             )
 
-        block = _Block(split)
+        block = _Block(split, known)
         for batch in batches:
             for x in T.pieces(batch, most=T.PIECE_BYTES // 4):
                 block.add(T.column(x, "doc_id"), pc.fill_null(T.column(x, "text"), ""))
                 if block.bytes >= block_bytes:
                     yield row(block)
-                    block = _Block(split)
+                    block = _Block(split, known)
         if block.docs:
             yield row(block)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, known, pieces = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 docs_, ids, decoded = (T.column(row, c).flatten() for c in ("docs", "ids", "decoded"))
                 ends, places = (np.frombuffer(T.column(row, c)[0].as_buffer(), t) for c, t in (("ends", "<i8"), ("places", "<i4")))
                 off, flat = T.lists(ids)
-                coded = T.binary_array(flat.to_numpy().astype("<u4").view(np.uint8), off * 4)
+                coded = pa.concat_arrays([known, T.binary_array(flat.to_numpy().astype("<u4").view(np.uint8), off * 4)])
+                bytes_ = pa.concat_arrays([pieces, decoded])
                 step, at = max(1, len(docs_) * T.PIECE_BYTES // max(1, 8 * len(places))), 0
                 while at < len(docs_):
                     to = min(len(docs_), at + step)
                     own, bounds = pa.array(places[ends[at] : ends[to]]), ends[at : to + 1] - ends[at]
                     yield pa.RecordBatch.from_arrays(
-                        [docs_.slice(at, to - at), *_joined(coded.take(own), decoded.take(own), bounds)],
+                        [docs_.slice(at, to - at), *_joined(coded.take(own), bytes_.take(own), bounds)],
                         ["doc_id", "n_tokens", "ids", "decoded"],
                     )
                     at = to
 
     merge, piece = merge_expression(ranks), piece_expression(ranks)
-    bounded_batches(docs.sparkSession)
-    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(words, "docs array<long>, ends binary, places binary, words array<array<int>>, extra array<array<int>>")
+    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(T.released(words), "docs array<long>, ends binary, places binary, words array<array<int>>, extra array<array<int>>")
     merged = blocks.select("docs", "ends", "places", F.concat(F.transform("words", merge), "extra").alias("ids"))
     pieced = merged.select("docs", "ends", "places", "ids", F.transform("ids", piece).alias("decoded"))
-    return pieced.mapInArrow(assemble, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return pieced.mapInArrow(T.released(assemble), "doc_id long, n_tokens long, ids binary, decoded binary")

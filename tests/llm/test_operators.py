@@ -309,13 +309,13 @@ def test_language_model_whole_counts(docs, order):
         assert g[:2] == w[:2] and abs(g[2] - w[2]) < 3e-4 * w[1]
 
 
-@pytest.mark.parametrize("longest,block", [(96, 1 << 20), (8, 200)])
-def test_byte_bpe(docs, empty, longest, block):
+@pytest.mark.parametrize("longest,block,common", [(96, 1 << 20, 0), (8, 200, 7), (96, 300, 1000)])
+def test_byte_bpe(docs, empty, longest, block, common):
     import tiktoken
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
-    got = byte_bpe.encode(docs, path, P.PATTERN, block_bytes=block, longest=longest).collect()
+    got = byte_bpe.encode(docs, path, P.PATTERN, block_bytes=block, longest=longest, common=common).collect()
     want = [(i, (ids := library.encode_ordinary(t or "")), np.array(ids, "<u4").tobytes(), (t or "").encode()) for i, t in ROWS]
     assert sorted([(r.doc_id, r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in got], key=str) == sorted([(i, len(ids), b, t) for i, ids, b, t in want], key=str)
     assert byte_bpe.encode(empty, path, P.PATTERN).count() == 0
@@ -417,3 +417,13 @@ def test_near_dedup_large_group(spark):
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, near_dedup.near_duplicates(d).drop("row_hash").collect()), key=str) == brute_components(rows)
+
+
+def test_byte_bpe_long_words():
+    """Words of any length merge as the library merges them."""
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
+    for word in ("z" * 5000, "ab" * 700, "é" * 300, prose(3, 500).replace(" ", ""), "a", ""):
+        assert byte_bpe.merge_long(word.encode(), path) == library.encode_ordinary(word)
