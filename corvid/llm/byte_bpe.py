@@ -239,19 +239,19 @@ def common_words(docs: DataFrame, ranks: str, pattern: str, common: int, sample_
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(pattern).findall
         for batch in batches:
-            for x in T.pieces(batch, most=T.PIECE_BYTES // 4):
+            for x in T.pieces(batch):
                 found: Counter[str] = Counter()
                 for text in T.column(x, "text").to_pylist():
                     found.update(split(text or ""))
-                often = [(w, c) for w, c in found.items() if c > 1 and len(w) <= longest // 4]
-                if often:
-                    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in often]), pa.array([c for _, c in often])], ["word", "c"])
+                short = [(w, c) for w, c in found.items() if len(w) <= longest // 4]
+                if short:
+                    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in short]), pa.array([c for _, c in short])], ["word", "c"])
 
     if not common:
         return pa.array([], pa.string()), pa.array([], pa.binary()), pa.array([], pa.binary())
     sample = docs.select("text") if rows <= sample_rows else docs.select("text").sample(sample_rows / rows, 1)
-    counted = sample.mapInArrow(T.released(count), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    most = counted.orderBy(F.desc("c"), "word").limit(common).repartition(F.col("word"))
+    counted = sample.mapInArrow(T.released(count), "word string, c long").groupBy("word").agg(F.sum("c").alias("c")).filter("c > 1")
+    most = counted.orderBy(F.desc("c"), "word").limit(common).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
     ids = most.select("word", merge_expression(ranks)(_bytes_of(F.col("word"))).alias("ids"))
     found = ids.select("word", "ids", piece_expression(ranks)(F.col("ids")).alias("piece")).toArrow().combine_chunks()
     off, flat = T.lists(_whole(found.column("ids")))
@@ -273,7 +273,7 @@ def _numbers(key: str, words: pa.Array) -> dict[str, int]:
     return _DICTIONARY[key]
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, block_bytes: int = BLOCK_BYTES, longest: int = 96, common: int = 200_000, sample_rows: int = 20_000) -> DataFrame:
+def encode(docs: DataFrame, ranks: str, pattern: str, block_bytes: int = BLOCK_BYTES, longest: int = 96, common: int = 300_000, sample_rows: int = 20_000) -> DataFrame:
     """doc_id, n_tokens, ids (32-bit little-endian) and decoded (bytes) of every document.
 
     ranks: a rank file's path on every machine; pattern: the split pattern of its tokeniser; common and
