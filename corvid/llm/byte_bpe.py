@@ -130,17 +130,18 @@ def merge_expression(path: str):
 
     def step(s: Column, _: Column) -> Column:
         def at(p: Column) -> Column:
-            """p: the place, from 1, of the pair to merge. The entries of the token before and of the merged one are new."""
+            """p: the place, from 1, of the pair to merge. The entries of the token before and of the merged one are new, that of the second token goes."""
             merged = F.shiftright(F.get(s, p - 1), 16)
-            keys = F.array(F.shiftleft(F.get(s, p - 2).bitwiseAND(low), 16).bitwiseOR(merged), F.shiftleft(merged, 16).bitwiseOR(F.get(s, p + 1).bitwiseAND(low)))
-            return F.concat(F.slice(s, F.lit(1), p - 2), F.transform(keys, entry), F.slice(s, p + 2, F.size(s)))
+            own = F.shiftleft(merged, 16).bitwiseOR(F.get(s, p + 1).bitwiseAND(low))
+            new = lambda e, i: F.get(F.transform(F.array(F.when(i == p - 1, own).otherwise(F.shiftleft(e.bitwiseAND(low), 16).bitwiseOR(merged))), entry), F.lit(0))
+            return F.array_remove(F.transform(s, lambda e, i: F.when((i < p - 2) | (i > p), e).when(i == p, gone).otherwise(new(e, i))), gone)
 
         least = F.array_min(s)
         return F.when(least >= stop, s).otherwise(F.get(F.transform(F.array(F.array_position(s, least).cast("int")), at), F.lit(0)))
 
     # Both ends are an id that no pair has.
     edge = F.array(F.lit(_NONE << 16 | 65535).cast("bigint"))
-    stop = F.lit(_NONE << 16).cast("bigint")
+    stop, gone = F.lit(_NONE << 16).cast("bigint"), F.lit(-1).cast("bigint")
 
     def merge(word: Column) -> Column:
         start = F.transform(word, lambda b, i: F.coalesce(F.get(two_c, b * 256 + F.get(word, i + 1)), F.get(alone_c, b)))
@@ -210,7 +211,9 @@ class _Block:
         at = np.flatnonzero(start)
         coded = T.binary_array(data, np.append(at, len(data)) if len(at) else np.zeros(1)).dictionary_encode()
         number, common, base = self.number, self.common, len(self.common)
-        own = [[c if (c := common.get(x)) is not None else number.setdefault(x, base + len(number)) for x in self.split(unit.decode())] for unit in coded.dictionary.to_pylist()]
+        # Words of the dictionary are their own only match.
+        units = [x.decode() for x in coded.dictionary.to_pylist()]
+        own = [(c,) if (c := common.get(u)) is not None else [c if (c := common.get(x)) is not None else number.setdefault(x, base + len(number)) for x in self.split(u)] for u in units]
         starts = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
         flat = np.fromiter((i for x in own for i in x), np.int32, int(starts[-1]))
         places, ends = T.ragged(starts, coded.indices.to_numpy())
@@ -227,9 +230,9 @@ def _joined(ids: pa.Array, decoded: pa.Array, bounds: np.ndarray) -> tuple[pa.Ar
     return pa.array(np.diff(n[bounds]) // 4), T.binary_array(raw, n[bounds]), T.binary_array(text, m[bounds])
 
 
-def _bytes_of(words: Column) -> Column:
-    """Byte values of a word given as text."""
-    return F.transform(F.sequence(F.lit(1), F.octet_length(words)), lambda i: F.conv(F.hex(F.substring(F.encode(words, "UTF-8"), i, F.lit(1))), 16, 10).cast("int"))
+def _bytes_of(word: Column) -> Column:
+    """Byte values of a word given as text: each byte is one character of ISO 8859-1."""
+    return F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
 
 
 def common_words(docs: DataFrame, ranks: str, pattern: str, common: int, sample_rows: int, longest: int) -> tuple[pa.Array, pa.Array, pa.Array]:
@@ -243,7 +246,7 @@ def common_words(docs: DataFrame, ranks: str, pattern: str, common: int, sample_
                 found: Counter[str] = Counter()
                 for text in T.column(x, "text").to_pylist():
                     found.update(split(text or ""))
-                short = [(w, c) for w, c in found.items() if len(w) <= longest // 4]
+                short = [(w, c) for w, c in found.items() if len(w) <= longest // 4 and split(w) == [w]]
                 if short:
                     yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in short]), pa.array([c for _, c in short])], ["word", "c"])
 
@@ -265,11 +268,11 @@ def _whole(column: pa.ChunkedArray) -> pa.Array:
 _DICTIONARY: dict[str, dict[str, int]] = {}
 
 
-def _numbers(key: str, words: pa.Array) -> dict[str, int]:
-    """Number by word; a worker keeps those of one dictionary, that of key."""
+def _numbers(key: str, shared) -> dict[str, int]:
+    """Number by word of a broadcast array; a worker keeps those of one dictionary, that of key."""
     if key not in _DICTIONARY:
         _DICTIONARY.clear()
-        _DICTIONARY[key] = {w: i for i, w in enumerate(words.to_pylist())}
+        _DICTIONARY[key] = {w: i for i, w in enumerate(shared.value.to_pylist())}
     return _DICTIONARY[key]
 
 
@@ -280,11 +283,11 @@ def encode(docs: DataFrame, ranks: str, pattern: str, block_bytes: int = BLOCK_B
     sample_rows bound the dictionary, none at common 0.
     """
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(common_words(docs, ranks, pattern, common, sample_rows, longest))
-    key = uuid.uuid4().hex
+    often, *coded_ = common_words(docs, ranks, pattern, common, sample_rows, longest)
+    dictionary, pieces_of, key = docs.sparkSession.sparkContext.broadcast(often), docs.sparkSession.sparkContext.broadcast(coded_), uuid.uuid4().hex
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known = regex.compile(pattern).findall, _numbers(key, shared.value[0])
+        split, known = regex.compile(pattern).findall, _numbers(key, dictionary)
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
 
         def row(block: _Block) -> pa.RecordBatch:
@@ -313,7 +316,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, block_bytes: int = BLOCK_B
             yield row(block)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, known, pieces = shared.value
+        known, pieces = pieces_of.value
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
