@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm import text as T
-from corvid.llm.scratch import bounded_batches
+from corvid.llm.scratch import bounded_batches, stage
 
 #: Bytes of text in a block, at least one document.
 BLOCK_BYTES = 4 << 20
@@ -254,7 +254,8 @@ def common_words(docs: DataFrame, ranks: str, pattern: str, common: int, sample_
         return pa.array([], pa.string()), pa.array([], pa.binary()), pa.array([], pa.binary())
     sample = docs.select("text") if rows <= sample_rows else docs.select("text").sample(sample_rows / rows, 1)
     counted = sample.mapInArrow(T.released(count), "word string, c long").groupBy("word").agg(F.sum("c").alias("c")).filter("c > 1")
-    most = counted.orderBy(F.desc("c"), "word").limit(common).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    # Written before they are merged: a plan that holds the literal tables is described anew at each of its shuffles.
+    most = stage(counted.orderBy(F.desc("c"), "word").limit(common).select("word").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word"), "words")
     ids = most.select("word", merge_expression(ranks)(_bytes_of(F.col("word"))).alias("ids"))
     found = ids.select("word", "ids", piece_expression(ranks)(F.col("ids")).alias("piece")).toArrow().combine_chunks()
     off, flat = T.lists(_whole(found.column("ids")))
