@@ -9,14 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, list[str]] = {}
+#: Folders of sessions that name none, by application.
+_LOCAL: dict[str, str] = {}
 
 
 def base_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir; a local one only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="corvid-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _LOCAL[app] = _LOCAL.get(app) or "file://" + tempfile.mkdtemp(prefix="corvid-")
     return found.rstrip("/")
 
 
