@@ -11,7 +11,8 @@ files. A task writes under a name of its own and renames when complete, so that
 leave whole files only.
 
 Defined cases: null text counts as empty and has the end id alone; null doc_ids come first and are
-marked in the index; equal doc_ids stay separate records; columns other than doc_id and text are
+marked in the index; equal doc_ids stay separate records, in the order of their texts' digests, so that
+reruns agree; a very long text is one record; columns other than doc_id and text are
 ignored; an empty table gives no records.
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvid.llm import text as T
-from corvid.llm.scratch import bounded_batches, fresh_dir, stage
+from corvid.llm.scratch import bounded_batches, fresh_dir, row_digest, stage
 
 _MASK = 0xA282EAD8
 #: Index header: magic, bytes of an id, entries.
@@ -145,7 +146,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end: int = 1, part
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    by = ["doc_id", "_digest"]  # equal doc_ids spread over files too, and have one order
+    ordered = rows.withColumn("_digest", row_digest(F.col("text"))).repartitionByRange(n, *by).sortWithinPartitions(*by).drop("_digest")
     return stage(ordered.mapInArrow(write, "shard long, file string, records long, tokens long"), "manifest")
 
 
