@@ -3,7 +3,7 @@
 A source's target is its weight's share of all words wanted, at most `most` times its own words; the
 excess is shared again by weight. The fixpoint is least(most * size, level * weight) at one level,
 which follows from the sources sorted by size over weight. A document's key is -ln(u) / quality, with u
-from a digest of its doc_id: least keys first is weighted sampling without replacement. Complete epochs
+from a digest of its doc_id and text: least keys first is weighted sampling without replacement. Complete epochs
 take every document; the fraction left takes documents in key order while at least half of the document
 fits the budget. Prefix sums run over `cells` key ranges per source: ranges before the boundary are
 summed by aggregates, and rows are sorted within a range only, so that a source with a third of all
@@ -42,6 +42,11 @@ def uniform(key: Column, seed: str) -> Column:
     return (bits + 0.5) / float(1 << 52)
 
 
+def _cell(key: Column, cells: int) -> Column:
+    """A range of keys, in their order. Keys of quality q spread like exponentials of mean 1 / q: a third of the cells for each of the means 1, 10 and 100."""
+    return sum((F.floor(cells / 3 * (1 - F.exp(-key / mean))) for mean in (1.0, 10.0, 100.0)), F.lit(0).cast("long")).cast("int")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """source, source_size and target of each source; sizes: source and source_size, one row per source."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -56,9 +61,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", cells: int = 1024, row: Column | None = None) -> DataFrame:
     """doc_id, row_hash (or `row`, which tells rows apart), size, source_size, target, taken and copies (times the document is in the mix)."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (row_digest(F.col("text")) if row is None else row).alias("row_hash"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"), quality(F.col("text")).alias("_q"))
-    u = uniform(F.col("doc_id"), seed)
-    keyed = d.withColumn("_key", -F.log(u) / F.col("_q")).withColumn("_cell", F.floor(cells * (1 - F.exp(-F.col("_key")))).cast("int")).drop("_q")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (row_digest(F.col("text")) if row is None else row).alias("row_hash"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"), quality(F.col("text")).alias("_q"), uniform(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))), seed).alias("_u"))
+    keyed = d.withColumn("_key", -F.log(F.col("_u")) / F.col("_q")).withColumn("_cell", _cell(F.col("_key"), cells)).drop("_q", "_u")
     keyed = stage(keyed, "mix")  # texts are read once
     cell_sizes = keyed.groupBy("source", "_cell").agg(F.sum("size").alias("_words"))
     source_sizes = cell_sizes.groupBy("source").agg(F.sum("_words").alias("source_size"))
