@@ -5,7 +5,8 @@ batch of documents is digested once into a table of (digest, doc_id, locator); a
 query reads what is new there and keeps, per digest and without expiry, the stable identifier (least
 doc_id), the content locator of that row and the number of rows, in RocksDB state below the shared
 folder. A digest that is hit more than once has its members' full normalised texts compared with the
-text at the locator; members of a digest with any difference are grouped by their texts instead.
+text at the locator (least and greatest text of the members, by partial aggregates); members of a digest
+with any difference are grouped by their texts instead.
 
 Defined cases: null counts as empty, and empty texts equal each other; of equal texts the row with the
 least doc_id stays; rows without doc_id stay only where none of their group has one; rows that repeat
@@ -101,10 +102,8 @@ def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha25
     rows = seen.join(groups.select("digest", "keep_id", "group_size"), "digest")
     members = rows.filter("group_size > 1").select("doc_id", "row_hash", "digest", "keep_id").distinct()
     hits = stage(_texts(docs, members), "hits")
-    at = groups.filter("group_size > 1").select("digest", F.col("locator.row_hash").alias("_hash"))
-    located = hits.join(at, "digest").filter(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row_hash") == F.coalesce("_hash", "row_hash")))
-    kept_text = located.groupBy("digest").agg(F.min("text").alias("kept_text"))
-    differ = stage(hits.join(kept_text, "digest").filter("text <> kept_text").select("digest").distinct(), "collisions")
+    # The text at the locator is one of the members', so that all equal it if the least and the greatest text are equal; partial aggregates keep a large group from one task.
+    differ = stage(hits.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most")).filter("least <> most").select("digest"), "collisions")
     if not differ.isEmpty():
         fine = rows.join(differ, "digest", "left_anti").select("doc_id", "row_hash", "sha", "keep_id", "group_size")
         placed = hits.join(differ, "digest", "left_semi").select("doc_id", "row_hash", sha256(F.col("text")).alias("sha"), "text")
