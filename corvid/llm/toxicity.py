@@ -6,14 +6,16 @@ bias + sum of w_i + sum over pairs of <v_i, v_j>, so that two terms that mean li
 group's mention) can weigh together. Only labels and terms of the text are learnt from: never language,
 source or doc_id.
 
-The model is fitted on the driver from a bounded sample: the `sample_rows` labelled rows of least id
-hash among those that may be learnt from. Buckets whose share among toxic documents does not differ by
-`least_z` standard errors keep weight 0, so that rare words of the sample add no noise. All documents
-are scored in one pass, with a model of at most dims entries.
+The model is fitted on a bounded sample: the `sample_rows` labelled rows of least id hash among those
+that may be learnt from, one text each. Buckets whose share among toxic documents does not differ by
+`least_z` standard errors keep weight 0, so that rare words of the sample add no noise; they are left out
+by partial counts before the driver gets the sample's terms. All documents are scored in one pass, with a
+model of at most dims entries.
 
 Defined cases: null or empty texts have no terms and get the bias alone; without both labels in the
 sample the score is the share of toxic labels, or 0 without labels; rows that repeat are scored each on
-its own; columns other than doc_id and text (labels: doc_id and toxic) are ignored.
+its own, and of rows that share a labelled doc_id the greatest text is learnt from; very long texts are
+scored whole, as pieces of their own; columns other than doc_id and text (labels: doc_id and toxic) are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm import text as T
-from corvid.llm.scratch import bounded_batches
+from corvid.llm.scratch import bounded_batches, stage
 
 #: Bytes of the stems that are terms beside the whole word, so that inflected forms share evidence.
 STEMS = (5, 7)
 
+#: Standard errors by which a bucket's share among toxic documents must differ for a weight.
+LEAST_Z = 4.0
 _STRIP = string.punctuation.encode()
 
 
@@ -87,7 +91,7 @@ def _raw(bias: float, w: np.ndarray, v: np.ndarray, at: np.ndarray, doc: np.ndar
     return out, sums
 
 
-def fit(found: np.ndarray, offsets: np.ndarray, labels: np.ndarray, dims: int, factors: int = 8, least_z: float = 4.0, epochs: int = 300, rate: float = 0.05, decay: tuple[float, float] = (1e-6, 1e-4), seed: int = 7) -> Machine:
+def fit(found: np.ndarray, offsets: np.ndarray, labels: np.ndarray, dims: int, factors: int = 8, least_z: float = LEAST_Z, epochs: int = 300, rate: float = 0.05, decay: tuple[float, float] = (1e-6, 1e-4), seed: int = 7) -> Machine:
     """A machine from the distinct buckets of all documents, their n+1 offsets and labels 0 or 1, by Adam on the mean logistic loss.
 
     The first third of the steps fits the additive weights alone, so that a term which is enough by itself gets its weight there.
@@ -125,15 +129,31 @@ def train(docs: DataFrame, labels: DataFrame, dims: int = 1 << 20, sample_rows:
     bounded_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).filter("_toxic IS NOT NULL AND _id IS NOT NULL").filter(~held_out(F.col("_id")))
     chosen = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.max("text").alias("text"), F.max("_toxic").alias("_toxic"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in T.pieces(batch):
+            for x in T.pieces(batch, most=T.PIECE_BYTES // 4):
                 found, off = terms(T.column(x, "text"), dims)
                 yield pa.RecordBatch.from_arrays([T.column(x, "_toxic").cast(pa.int32()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(found.astype(np.int32)))], ["toxic", "terms"])
 
-    rows = sample.select("text", "_toxic").mapInArrow(make, "toxic int, terms array<int>").toArrow()
+    listed = stage(sample.select("text", "_toxic").mapInArrow(T.released(make), "toxic int, terms array<int>"), "terms")
+    seen = listed.agg(F.count("*"), F.avg("toxic")).first()
+    chosen_terms = np.zeros(0, np.int32)
+    if seen[0]:
+        least_z, share = options.get("least_z", LEAST_Z), seen[1]
+        error = F.sqrt(F.greatest(F.col("n") * share * (1 - share), F.lit(1e-9)))
+        counts = listed.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
+        chosen_terms = np.sort(counts.filter(F.abs(F.col("toxic") - F.col("n") * share) / error >= least_z).select("term").toArrow().column("term").to_numpy())
+
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            off, flat = T.lists(T.column(x, "terms"))
+            keep = np.isin(flat.to_numpy(), chosen_terms)
+            ends = np.concatenate([[0], np.cumsum(keep)])[off]
+            yield pa.RecordBatch.from_arrays([T.column(x, "toxic"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(pa.array(keep)))], ["toxic", "terms"])
+
+    rows = listed.mapInArrow(few, "toxic int, terms array<int>").toArrow()
     off, flat = T.lists(rows.column("terms").combine_chunks()) if rows.num_rows else (np.zeros(1, np.int64), pa.array([], pa.int32()))
     return fit(flat.to_numpy(), off, rows.column("toxic").to_numpy().astype(float), dims, **options)
 
@@ -144,10 +164,10 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in T.pieces(batch):
+            for x in T.pieces(batch, most=T.PIECE_BYTES // 4):
                 yield pa.RecordBatch.from_arrays([T.column(x, "doc_id"), pa.array(shared.value.scores(*terms(T.column(x, "text"), shared.value.dims)))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(T.released(make), "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:
@@ -156,7 +176,7 @@ def without_toxic(docs: DataFrame, machine: Machine, threshold: float = 0.5) ->
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in T.pieces(batch):
+            for x in T.pieces(batch, most=T.PIECE_BYTES // 4):
                 yield x.filter(pa.array(shared.value.scores(*terms(T.column(x, "text"), shared.value.dims)) < threshold))
 
-    return docs.mapInArrow(make, docs.schema)
+    return docs.mapInArrow(T.released(make), docs.schema)
