@@ -1,4 +1,4 @@
-"""A word n-gram model (of order 2 or 3) in an Elias-Fano trie, trained and queried in shards.
+"""A word n-gram model (of order 3, or 2) in an Elias-Fano trie, trained and queried in shards.
 
 Tokens are words with A-Z lower-cased, then one end token per text; an end stands before the first word.
 Level 1 has the sorted hashes of all training words, their counts and quantised backoff weights; a word's
@@ -10,10 +10,12 @@ of 2**-12 in log10: a probability is the share, 0 where the level has none, plus
 the probability one level below, down to the add-one unigram, so that each context's sum to 1. A text's
 first token has the end before it as its whole context and stays at level 2.
 
-Counts come from partial counts per piece of text. Level 1 is cut by ranges of the hash, the others by
-ranges of (context, word) with any context free to span several shards, so that no frequent word loads
-one task. Levels are files in the shared folder, mapped into memory by the tasks that score, not sent to
-them. Shards grow in number with the session's shuffle partitions.
+Counts come from partial counts per piece of text, combined per piece. Level 1 is cut by ranges of the
+hash, the others by a hash of the pair, so that a frequent word's pairs are in all shards and no frequent
+word loads one task (those that follow one pair are at most the vocabulary). Pieces send each shard one
+packed block of sorted, counted rows; a shard is merged from its blocks and written once. Levels are files
+in the shared folder, mapped into memory by the tasks that score, not sent to them. Shards grow in number
+with the session's shuffle partitions.
 
 Defined cases: null or empty text is the end token alone; without training texts every token has the
 probability 1; rows that repeat count each; null doc_ids count as empty text in the split; columns other
@@ -73,13 +75,14 @@ class _Stream:
 
 @dataclass(frozen=True)
 class Model:
-    """Where the levels are. bits: log2 of level 1's shards; bases: first id of each of them; levels: per level from 2 on, the least (context, word) and the number of each shard."""
+    """Where the levels are. bits: log2 of level 1's shards; bases: first id of each of them; shards: number of pair shards; levels: per level from 2 on, the shards that have rows."""
 
     path: str
     bits: int
     bases: tuple[int, ...]
     tokens: int
-    levels: tuple[tuple[tuple[int, int, int], ...], ...] = ()
+    shards: int = 1
+    levels: tuple[tuple[int, ...], ...] = ()
 
     @property
     def words(self) -> int:
@@ -146,14 +149,12 @@ def _counts(path: str, shard: int) -> np.ndarray:
 def find(m: Model, level: int, context: np.ndarray, word: np.ndarray, *names: str) -> list[np.ndarray]:
     """Columns of a level at (context, word), -1 where it has none. Contexts: ids at level 2, pairs (id * 2**32 + id) at level 3."""
     out = [np.full(len(word), -1) for _ in names]
-    if len(m.levels) < level - 1 or not m.levels[level - 2]:
+    if len(m.levels) < level - 1 or not m.levels[level - 2] or not len(word):
         return out
-    first, second, number = np.array(m.levels[level - 2]).T
-    at = np.searchsorted(first, context, side="right") - 1
-    while (over := (at >= 0) & (first[at] == context) & (second[at] > word)).any():
-        at[over] -= 1
-    for i, rows in _each(np.maximum(at, 0)):
-        shard = int(number[i])
+    have = set(m.levels[level - 2])
+    for shard, rows in _each(_pair_shard(_joined(context, word) if level == 2 else context, m.shards)):
+        if shard not in have:
+            continue
         base, contexts, pointers, ids = _level(m.path, level, shard)
         c, w = context[rows], word[rows]
         place = contexts.find((c - base[0]).clip(0))
@@ -190,10 +191,10 @@ def _unquantised(codes: np.ndarray, none: float) -> np.ndarray:
     return np.where(codes < 0, none, 10.0 ** (-codes / SCALE))
 
 
-def train(docs: DataFrame, path: str | None = None, least: int = 2, discount: float = 0.75, order: int = 2) -> Model:
+def train(docs: DataFrame, path: str | None = None, least: int = 1, discount: float = 0.75, order: int = 3) -> Model:
     """Counts and writes the levels from the texts of docs.
 
-    least: pairs and triples seen less often are left out, none at 1; order: 2, or 3 for triples too.
+    least: pairs and triples seen less often are left out, none at 1 (the exact form); order: 3, or 2 without triples.
     """
     if order not in (2, 3):
         raise ValueError("order must be 2 or 3")
@@ -226,29 +227,57 @@ def train(docs: DataFrame, path: str | None = None, least: int = 2, discount: fl
     bases = np.concatenate([[0], np.cumsum([rows[i].words if i in rows else 0 for i in range(1 << bits)])])
     model = Model(path, bits, tuple(bases.tolist()), sum(r.tokens for r in rows.values()))
 
+    if model.words >= 1 << 31:
+        raise ValueError("word ids must fit in 31 bits")
+    shards = max(1, n)
+
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs as keys, with the word that follows in the text, or -1."""
+        """Per piece and shard of the pair: counted pairs with the word that follows in the text, packed."""
         for batch in batches:
             for x in T.pieces(batch, most=_PIECE):
                 s = _Stream.of(T.column(x, "text"))
                 ids, counts = word_ids(model, s.hashes)
-                n, often = len(ids), counts >= least  # a pair is no more frequent than its words
+                size, often = len(ids), counts >= least  # a pair is no more frequent than its words
                 keep = often[s.tokens] & often[s.contexts]
                 follows = np.full(len(s.tokens), -1)
                 if order > 2 and len(follows):
-                    follows[:-1] = np.where((s.tokens[:-1] != n - 1) & often[s.tokens[1:]], s.tokens[1:], -1)
-                context, token, follows = s.contexts[keep], s.tokens[keep], follows[keep]
-                pair = context * n + token
-                if n > 1 << 20:  # n**3 would not fit
-                    pair = np.unique(pair, return_inverse=True)[1]
-                _, at, c = np.unique(pair * (n + 1) + follows + 1, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((ids[context[at]] << 32) | ids[token[at]]), pa.array(np.append(ids, -1)[follows[at]]), pa.array(c)], ["key", "next", "c"])
-
-    counted = stage(texts.mapInArrow(grams, "key long, next long, c long").groupBy("key", "next").agg(F.sum("c").alias("c")), "grams")
-    triples = counted.filter((F.col("next") >= 0) & (F.col("c") >= least))
-    above = F.sum(F.when((F.col("next") >= 0) & (F.col("c") >= least), F.col("c") - discount).otherwise(0.0))
-    kept = stage(counted.groupBy("key").agg(F.sum("c").alias("c"), above.alias("mass")).filter(F.col("c") >= least), "pairs")
-    mass = kept.groupBy(F.shiftright("key", 32).alias("context")).agg(F.sum(F.col("c") - discount).alias("mass")).withColumn("shard", _range_shards(model, F.col("context")))
+                    follows[:-1] = np.where((s.tokens[:-1] != size - 1) & often[s.tokens[1:]], s.tokens[1:], -1)
+                pair, c = _runs(_joined(ids[s.contexts[keep]], ids[s.tokens[keep]]), np.append(ids, -1)[follows[keep]])
+                (key, follow), at = pair, _pair_shard(pair[0], shards)
+                order_ = np.argsort(at, kind="stable")
+                bounds = np.searchsorted(at[order_], np.arange(shards + 1))
+                out = [(i, _packed(key[r], follow[r], c[r])) for i, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if hi > lo for r in (order_[lo:hi],)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([d for _, d in out], pa.binary())], ["shard", "grams"])
+
+    def write(table: pa.Table) -> pa.Table:
+        """One shard of levels 2 and 3, with the mass that each context word has in it."""
+        shard = table.column("shard")[0].as_py()
+        (key, follow), c = _merged(table.column("grams"))
+        start = np.flatnonzero(np.diff(key, prepend=-1))
+        pairs, total = key[start], np.add.reduceat(c, start)
+        kept = total >= least
+        three = (follow >= 0) & (c >= least)
+        mass = np.add.reduceat(np.where(three, c - discount, 0.0), start)[kept]
+        pairs, total = pairs[kept], total[kept]
+        context, word = pairs >> 32, pairs & 0xFFFFFFFF
+        if len(pairs):
+            columns = {"codes": _quantised((total - discount) / _by_id(model, context, _counts))}
+            if order > 2:
+                columns |= {"backoff": _quantised(1 - mass / total)}
+            _save_level(path, 2, shard, context, word, **columns)
+        if order > 2 and three.any():
+            at = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key))))
+            sums = np.add.reduceat(c, start)
+            _save_level(path, 3, shard, key[three], follow[three], codes=_quantised((c[three] - discount) / sums[at[three]]))
+        own, at = np.unique(context, return_inverse=True)
+        masses = np.bincount(at, total - discount, len(own)) if len(own) else np.zeros(0)
+        return pa.table({"shard": np.full(len(own), shard), "context": own.astype(np.int64), "mass": masses, "triples": np.full(len(own), bool(three.any()))})
+
+    written = stage(texts.mapInArrow(T.released(grams), "shard long, grams binary").groupBy("shard").applyInArrow(write, "shard long, context long, mass double, triples boolean"), "masses")
+    made = written.groupBy("shard").agg(F.max("triples").alias("triples")).collect()  # one row per shard
+    two = tuple(sorted(r.shard for r in made))
+    mass = written.groupBy("context").agg(F.sum("mass").alias("mass")).withColumn("shard", _range_shards(model, F.col("context")))
 
     def write_backoff(table: pa.Table) -> pa.Table:
         shard, context = table.column("shard")[0].as_py(), table.column("context").to_numpy()
@@ -261,33 +290,48 @@ def train(docs: DataFrame, path: str | None = None, least: int = 2, discount: fl
 
     every = spark.createDataFrame([(i, -1, 0.0) for i in rows], "shard long, context long, mass double").unionByName(mass.select("shard", "context", "mass"))
     every.groupBy("shard").applyInArrow(write_backoff, "shard long").collect()  # one row per shard
+    three = tuple(sorted(r.shard for r in made if r.triples))
+    return replace(model, shards=shards, levels=(two, three)[: order - 1])
+
+
+def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return (context << 32) | word
+
+
+def _pair_shard(key: np.ndarray, shards: int) -> np.ndarray:
+    return (T.mix(key.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+
+
+def _runs(key: np.ndarray, follow: np.ndarray, c: np.ndarray | None = None) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Distinct (key, follow) in order, and the sums of c, or their counts."""
+    by = np.lexsort((follow, key))
+    key, follow = key[by], follow[by]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (follow[1:] != follow[:-1])
+    start = np.flatnonzero(new)
+    sums = np.diff(np.append(start, len(key))) if c is None else np.add.reduceat(c[by], start) if len(start) else c
+    return (key[start], follow[start]), sums
+
+
+def _packed(key: np.ndarray, follow: np.ndarray, c: np.ndarray) -> bytes:
+    """Sorted rows: steps of the key, the words that follow and the counts, compressed column by column."""
+    raw = b"".join(np.ascontiguousarray(x).tobytes() for x in (np.diff(key, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T, follow.astype("<i4").view(np.uint8).reshape(-1, 4).T, c.astype("<u4").view(np.uint8).reshape(-1, 4).T))
+    return len(key).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:8], "little")
+    raw = np.frombuffer(pa.decompress(data[8:], 16 * n, "zstd"), np.uint8)
+    part = lambda at, width, kind: np.ascontiguousarray(raw[at * n : (at + width) * n].reshape(width, n).T).view(kind)[:, 0].astype(np.int64)
+    return np.cumsum(part(0, 8, "<i8")), part(8, 4, "<i4"), part(12, 4, "<u4")
+
 
-    def write(level: int, model: Model):
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            full = [b for b in batches if b.num_rows]
-            if not full:
-                return
-            table = pa.Table.from_batches(full)
-            shard = TaskContext.get().partitionId()
-            key, c = table.column("key").to_numpy(), table.column("c").to_numpy()
-            context, word = (key >> 32, key & 0xFFFFFFFF) if level == 2 else (key, table.column("next").to_numpy())
-            start = np.flatnonzero(np.diff(context, prepend=-1))
-            own = context[start]
-            total = _by_id(model, own, _counts) if level == 2 else find(model, 2, own >> 32, own & 0xFFFFFFFF, "counts")[0]
-            columns = {"codes": _quantised((c - discount) / np.repeat(total, np.diff(np.append(start, len(key)))))}
-            if level == 2 and order > 2:
-                columns |= {"counts": c.astype(np.min_scalar_type(int(c.max()))), "backoff": _quantised(1 - table.column("mass").to_numpy() / c)}
-            _save_level(path, level, shard, context, word, **columns)
-            yield pa.RecordBatch.from_pylist([{"first": int(context[0]), "second": int(word[0]), "shard": shard}])
-
-        return rows
-
-    for level, df, by in [(2, kept, ["key"]), (3, triples, ["key", "next"])][: order - 1]:
-        written = df.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(write(level, model), "first long, second long, shard long").collect()  # one row per shard
-        model = replace(model, levels=(*model.levels, tuple(sorted((r.first, r.second, r.shard) for r in written))))
-    return model
+def _merged(packed: pa.ChunkedArray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Distinct rows of all pieces, in order, with their sums."""
+    parts = [_unpacked(x.as_py()) for x in packed]
+    key, follow, c = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    del parts
+    return _runs(key, follow, c)
 
 
 def _range_shards(m: Model, id_: Column) -> Column:

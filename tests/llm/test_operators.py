@@ -255,7 +255,7 @@ def test_elias_fano():
 
 
 def test_language_model(docs, empty):
-    model = language_model.train(docs)
+    model = language_model.train(docs, least=2, order=2)
     sents = [[*WORD.findall(lower(t)), b" "] for _, t in ROWS]
     c = collections.Counter(x for s in sents for x in s)
     pairs = collections.Counter(p for s in sents for p in zip([b" ", *s[:-1]], s, strict=True))
