@@ -105,6 +105,22 @@ class EliasFano:
         place = word * 64 + _select_in_word(self.bits[word], i - self.ranks[word])
         return ((place - i).astype(np.uint64) << np.uint64(self.low)) | self._lows(i)
 
+    def ranges(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The i-th and the next number: mostly the next bit of the same word."""
+        word = np.searchsorted(self.ranks, i, side="right") - 1
+        bits = self.bits[word]
+        at = _select_in_word(bits, i - self.ranks[word])
+        rest = bits & ~((np.uint64(2) << at.astype(np.uint64)) - np.uint64(1))
+        place = word * 64 + at
+        following = word * 64 + np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1))
+        low = np.uint64(self.low)
+        first = ((place - i).astype(np.uint64) << low) | self._lows(i)
+        then = ((following - i - 1).astype(np.uint64) << low) | self._lows(i + 1)
+        far = np.flatnonzero(rest == 0)
+        if len(far):
+            then[far] = self.access(i[far] + 1)
+        return first.astype(np.int64), then.astype(np.int64)
+
     def _ones_before_zero(self, h: np.ndarray) -> np.ndarray:
         """Numbers whose high part is at most h; h from -1."""
         zeros = np.arange(len(self.ranks)) * 64 - self.ranks
@@ -137,8 +153,29 @@ class EliasFano:
         """The place of x from lo on and below hi, or -1."""
         if not self.n or not len(x):
             return np.full(len(x), -1)
+        if isinstance(hi, np.ndarray):
+            return self._find_within(x.astype(np.uint64), np.asarray(lo), hi)
         at = self.successor(x, lo, hi)
         inside = at < (self.n if hi is None else hi)
         same = np.zeros(len(x), bool)
         same[inside] = self.access(at[inside]) == x[inside].astype(np.uint64)
         return np.where(same, at, -1)
+
+    def _find_within(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, few: int = 4) -> np.ndarray:
+        """find() in ranges: those of at most `few` numbers are read one by one, wider ones by successor search."""
+        out = np.full(len(x), -1)
+        wide = np.flatnonzero(hi - lo > few)
+        if len(wide):
+            at = self.successor(x[wide], lo[wide], hi[wide])
+            inside = np.flatnonzero(at < hi[wide])
+            same = self.access(at[inside]) == x[wide[inside]]
+            out[wide[inside[same]]] = at[inside[same]]
+        live, step = np.flatnonzero((hi > lo) & (hi - lo <= few)), 0
+        while len(live):
+            at = lo[live] + step
+            value = self.access(at)
+            same = value == x[live]
+            out[live[same]] = at[same]
+            step += 1
+            live = live[(value < x[live]) & (at + 1 < hi[live])]
+        return out

@@ -3,9 +3,8 @@
 Tokens are words with A-Z lower-cased, then one end token per text; an end stands before the first word.
 Level 1 has the sorted hashes of all training words, their counts and quantised backoff weights; a word's
 id is its rank. Level 2 has, per word, the ids of the words seen after it at least `least` times, and
-level 3 the same per pair: a monotone pointer per context into one monotone sequence, in which a context's
-ids are relative to the last number before its range, so that a lookup is a successor search within that
-range. Levels have absolute-discounted shares and the weight of the level below, each quantised to steps
+level 3 the same per entry of level 2: a monotone pointer per context into one monotone sequence, in which
+a context's ids are relative to its place, so that a lookup is a successor search within its range. Levels have absolute-discounted shares and the weight of the level below, each quantised to steps
 of 2**-12 in log10: a probability is the share, 0 where the level has none, plus the context's weight times
 the probability one level below, down to the add-one unigram, so that each context's sum to 1. A text's
 first token has the end before it as its whole context and stays at level 2.
@@ -36,13 +35,15 @@ from pyspark.sql import functions as F
 
 from corvid.llm import text as T
 from corvid.llm.elias_fano import EliasFano, load, save
-from corvid.llm.scratch import bounded_batches, fresh_dir, stage
+from corvid.llm.scratch import bounded_batches, fresh_dir
 
 #: The end token: no word holds a space.
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
 #: Steps of one unit of log10.
 SCALE = 4096
 _PIECE = T.PIECE_BYTES // 2
+#: The context of rows that only name a shard.
+_NONE = -(1 << 40)
 
 
 def _hashes(w: T.Words) -> np.ndarray:
@@ -100,9 +101,9 @@ def _backoff(path: str, shard: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=4096)
-def _level(path: str, level: int, shard: int) -> tuple[np.ndarray, EliasFano, EliasFano, EliasFano]:
+def _level(path: str, level: int, shard: int) -> tuple[EliasFano | None, EliasFano, EliasFano]:
     p = f"{path}/level{level}-{shard:05d}"
-    return load(f"{p}.range.npy"), EliasFano.load(f"{p}.contexts"), EliasFano.load(f"{p}.pointers"), EliasFano.load(f"{p}.ids")
+    return EliasFano.load(f"{p}.contexts") if level == 2 else None, EliasFano.load(f"{p}.pointers"), EliasFano.load(f"{p}.ids")
 
 
 @lru_cache(maxsize=4096)
@@ -146,39 +147,46 @@ def _counts(path: str, shard: int) -> np.ndarray:
     return _level1(path, shard)[1]
 
 
-def find(m: Model, level: int, context: np.ndarray, word: np.ndarray, *names: str) -> list[np.ndarray]:
-    """Columns of a level at (context, word), -1 where it has none. Contexts: ids at level 2, pairs (id * 2**32 + id) at level 3."""
-    out = [np.full(len(word), -1) for _ in names]
-    if len(m.levels) < level - 1 or not m.levels[level - 2] or not len(word):
-        return out
-    have = set(m.levels[level - 2])
-    for shard, rows in _each(_pair_shard(_joined(context, word) if level == 2 else context, m.shards)):
-        if shard not in have:
-            continue
-        base, contexts, pointers, ids = _level(m.path, level, shard)
-        c, w = context[rows], word[rows]
-        place = contexts.find((c - base[0]).clip(0))
-        rows, w, place = (x[(place >= 0) & (c >= base[0])] for x in (rows, w, place))
-        lo, hi = pointers.access(place).astype(np.int64), pointers.access(place + 1).astype(np.int64)
-        before = np.zeros(len(lo), np.int64)
-        before[lo > 0] = ids.access(lo[lo > 0] - 1)
-        at_ = ids.find(before + w, lo, hi)
-        for o, name in zip(out, names, strict=True):
-            o[rows[at_ >= 0]] = _column(m.path, level, shard, name)[at_[at_ >= 0]]
-    return out
+def find(m: Model, context: np.ndarray, word: np.ndarray, after: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """Codes of pairs (context, word) and the backoff codes of those, -1 where the model has none.
 
-
-def _save_level(path: str, level: int, shard: int, context: np.ndarray, word: np.ndarray, **columns: np.ndarray) -> None:
-    """One shard from its sorted (context, word)."""
-    start = np.flatnonzero(np.diff(context, prepend=-1))
-    # Numbers of a context follow the last one before its range.
-    last = np.concatenate([word[start[1:] - 1], word[-1:]])
-    base = np.concatenate([[0], np.cumsum(last)])[:-1]
+    after: places of pairs among the given ones and the words that follow them; then the codes of these triples come third.
+    """
+    pair, back = np.full(len(word), -1), np.full(len(word), -1)
+    triple = np.full(len(after[0]) if after else 0, -1)
+    two, three = (set(m.levels[i]) if len(m.levels) > i else set() for i in (0, 1))
+    if not two or not len(word):
+        return pair, back, triple
+    if after:
+        order = np.argsort(after[0], kind="stable")
+        first, last = np.searchsorted(after[0][order], [np.arange(len(word)), np.arange(1, len(word) + 1)])
+    for shard, rows in _each(_pair_shard(_joined(context, word), m.shards)):
+        if shard not in two:
+            continue
+        contexts, pointers, ids = _level(m.path, 2, shard)
+        place = contexts.find(context[rows])
+        rows, place = rows[place >= 0], place[place >= 0]
+        at = ids.find(place * (m.words + 1) + word[rows], *pointers.ranges(place))
+        rows, at = rows[at >= 0], at[at >= 0]
+        pair[rows] = _column(m.path, 2, shard, "codes")[at]
+        if len(m.levels) > 1:
+            back[rows] = _column(m.path, 2, shard, "backoff")[at]
+        if after and shard in three:
+            asked, _ = T.ragged(np.append(first, last[-1:]), rows)
+            asked, at = order[asked], np.repeat(at, last[rows] - first[rows])
+            _, pointers, ids = _level(m.path, 3, shard)
+            place = ids.find(at * (m.words + 1) + after[1][asked], *pointers.ranges(at))
+            triple[asked[place >= 0]] = _column(m.path, 3, shard, "codes")[place[place >= 0]]
+    return pair, back, triple
+
+
+def _save_level(path: str, level: int, shard: int, words: int, pointers: np.ndarray, word: np.ndarray, contexts: np.ndarray | None = None, **columns: np.ndarray) -> None:
+    """One shard: the words of context i are those from pointers[i] on; each follows i * (words + 1), so that all are one monotone sequence."""
     name = f"{path}/level{level}-{shard:05d}"
-    save(f"{name}.range.npy", np.array([context[0]]))
-    EliasFano.build(context[start] - context[0]).save(f"{name}.contexts")
-    EliasFano.build(np.append(start, len(word))).save(f"{name}.pointers")
-    EliasFano.build(word + np.repeat(base, np.diff(np.append(start, len(word))))).save(f"{name}.ids")
+    if contexts is not None:
+        EliasFano.build(contexts).save(f"{name}.contexts")
+    EliasFano.build(pointers).save(f"{name}.pointers")
+    EliasFano.build(word + np.repeat(np.arange(len(pointers) - 1), np.diff(pointers)) * (words + 1)).save(f"{name}.ids")
     for k, v in columns.items():
         save(f"{name}.{k}.npy", v)
 
@@ -242,10 +250,16 @@ def train(docs: DataFrame, path: str | None = None, least: int = 1, discount: fl
                 follows = np.full(len(s.tokens), -1)
                 if order > 2 and len(follows):
                     follows[:-1] = np.where((s.tokens[:-1] != size - 1) & often[s.tokens[1:]], s.tokens[1:], -1)
-                pair, c = _runs(_joined(ids[s.contexts[keep]], ids[s.tokens[keep]]), np.append(ids, -1)[follows[keep]])
-                (key, follow), at = pair, _pair_shard(pair[0], shards)
+                by = np.argsort(ids, kind="stable")  # local numbers in the order of ids: one sort orders all
+                rank = np.empty(size + 1, np.int64)
+                rank[by], rank[size] = np.arange(1, size + 1), 0
+                local = [rank[x[keep]] for x in (s.contexts, s.tokens, follows)]
+                key, follow, c = _counted(*local, size + 1)
+                of = np.append(-1, ids[by])
+                key, follow = _joined(of[key // (size + 1)], of[key % (size + 1)]), of[follow]
+                at = _pair_shard(key, shards).astype(np.uint32 if shards > 65535 else np.uint16)
                 order_ = np.argsort(at, kind="stable")
-                bounds = np.searchsorted(at[order_], np.arange(shards + 1))
+                bounds = np.searchsorted(at[order_], np.arange(shards + 1, dtype=np.int64))
                 out = [(i, _packed(key[r], follow[r], c[r])) for i, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if hi > lo for r in (order_[lo:hi],)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([d for _, d in out], pa.binary())], ["shard", "grams"])
@@ -253,45 +267,45 @@ def train(docs: DataFrame, path: str | None = None, least: int = 1, discount: fl
     def write(table: pa.Table) -> pa.Table:
         """One shard of levels 2 and 3, with the mass that each context word has in it."""
         shard = table.column("shard")[0].as_py()
-        (key, follow), c = _merged(table.column("grams"))
+        key, follow, c = _merged(table.column("grams"), model.words + 2)
         start = np.flatnonzero(np.diff(key, prepend=-1))
         pairs, total = key[start], np.add.reduceat(c, start)
         kept = total >= least
         three = (follow >= 0) & (c >= least)
-        mass = np.add.reduceat(np.where(three, c - discount, 0.0), start)[kept]
+        sums = np.add.reduceat(np.where(three, c - discount, 0.0), start)[kept]
+        three &= np.repeat(kept, np.diff(np.append(start, len(key))))
         pairs, total = pairs[kept], total[kept]
         context, word = pairs >> 32, pairs & 0xFFFFFFFF
+        first = np.flatnonzero(np.diff(context, prepend=-1))
         if len(pairs):
             columns = {"codes": _quantised((total - discount) / _by_id(model, context, _counts))}
             if order > 2:
-                columns |= {"backoff": _quantised(1 - mass / total)}
-            _save_level(path, 2, shard, context, word, **columns)
+                columns |= {"backoff": _quantised(1 - sums / total)}
+            _save_level(path, 2, shard, model.words, np.append(first, len(pairs)), word, context[first], **columns)
         if order > 2 and three.any():
-            at = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key))))
-            sums = np.add.reduceat(c, start)
-            _save_level(path, 3, shard, key[three], follow[three], codes=_quantised((c[three] - discount) / sums[at[three]]))
-        own, at = np.unique(context, return_inverse=True)
-        masses = np.bincount(at, total - discount, len(own)) if len(own) else np.zeros(0)
-        return pa.table({"shard": np.full(len(own), shard), "context": own.astype(np.int64), "mass": masses, "triples": np.full(len(own), bool(three.any()))})
-
-    written = stage(texts.mapInArrow(T.released(grams), "shard long, grams binary").groupBy("shard").applyInArrow(write, "shard long, context long, mass double, triples boolean"), "masses")
-    made = written.groupBy("shard").agg(F.max("triples").alias("triples")).collect()  # one row per shard
-    two = tuple(sorted(r.shard for r in made))
-    mass = written.groupBy("context").agg(F.sum("mass").alias("mass")).withColumn("shard", _range_shards(model, F.col("context")))
+            ends = np.append(np.searchsorted(key[three], pairs), int(three.sum()))
+            _save_level(path, 3, shard, model.words, ends, follow[three], codes=_quantised((c[three] - discount) / np.repeat(total, np.diff(ends))))
+        masses = np.add.reduceat(total - discount, first) if len(first) else np.zeros(0)
+        # The last row says that the shard has rows, and whether triples.
+        return pa.table({"context": np.append(context[first], -shard - 1), "mass": np.append(masses, float(three.any()))})
+
+    written = texts.mapInArrow(T.released(grams), "shard long, grams binary").groupBy("shard").applyInArrow(T.released_table(write), "context long, mass double")
+    mass = written.groupBy("context").agg(F.sum("mass").alias("mass")).withColumn("shard", F.when(F.col("context") < 0, F.lit(min(rows, default=0)).cast("long")).otherwise(_range_shards(model, F.col("context"))))
 
     def write_backoff(table: pa.Table) -> pa.Table:
-        shard, context = table.column("shard")[0].as_py(), table.column("context").to_numpy()
+        shard, context, mass = table.column("shard")[0].as_py(), table.column("context").to_numpy(), table.column("mass").to_numpy()
         counts, own = _counts(path, shard), context >= 0
         at = context[own] - model.bases[shard]
         share = np.zeros(len(counts))
-        share[at] = table.column("mass").to_numpy()[own] / counts[at]
+        share[at] = mass[own] / counts[at]
         save(f"{path}/backoff-{shard:05d}.npy", _quantised(1 - share))
-        return pa.table({"shard": [shard]})
+        said = (context < 0) & (context > _NONE)
+        return pa.table({"shard": -context[said] - 1, "triples": mass[said] > 0})
 
-    every = spark.createDataFrame([(i, -1, 0.0) for i in rows], "shard long, context long, mass double").unionByName(mass.select("shard", "context", "mass"))
-    every.groupBy("shard").applyInArrow(write_backoff, "shard long").collect()  # one row per shard
-    three = tuple(sorted(r.shard for r in made if r.triples))
-    return replace(model, shards=shards, levels=(two, three)[: order - 1])
+    every = spark.createDataFrame([(i, _NONE, 0.0) for i in rows], "shard long, context long, mass double").unionByName(mass.select("shard", "context", "mass"))
+    made = every.groupBy("shard").applyInArrow(write_backoff, "shard long, triples boolean").collect()  # one row per shard
+    levels = (tuple(sorted(r.shard for r in made)), tuple(sorted(r.shard for r in made if r.triples)))
+    return replace(model, shards=shards, levels=levels[: order - 1])
 
 
 def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -302,15 +316,13 @@ def _pair_shard(key: np.ndarray, shards: int) -> np.ndarray:
     return (T.mix(key.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
 
 
-def _runs(key: np.ndarray, follow: np.ndarray, c: np.ndarray | None = None) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """Distinct (key, follow) in order, and the sums of c, or their counts."""
-    by = np.lexsort((follow, key))
-    key, follow = key[by], follow[by]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (follow[1:] != follow[:-1])
-    start = np.flatnonzero(new)
-    sums = np.diff(np.append(start, len(key))) if c is None else np.add.reduceat(c[by], start) if len(start) else c
-    return (key[start], follow[start]), sums
+def _counted(context: np.ndarray, word: np.ndarray, follow: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (context * size + word, follow) in order, and how often each is given; all numbers are below size."""
+    pair, back = context * size + word, None
+    if size >= 1 << 20:  # its cube would not fit
+        back, pair = np.unique(pair, return_inverse=True)
+    code, c = np.unique(pair * size + follow, return_counts=True)
+    return code // size if back is None else back[code // size], code % size, c
 
 
 def _packed(key: np.ndarray, follow: np.ndarray, c: np.ndarray) -> bytes:
@@ -326,12 +338,17 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(part(0, 8, "<i8")), part(8, 4, "<i4"), part(12, 4, "<u4")
 
 
-def _merged(packed: pa.ChunkedArray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """Distinct rows of all pieces, in order, with their sums."""
+def _merged(packed: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, follow) of all pieces, in order, with their sums; size: more than the numbers that may follow."""
     parts = [_unpacked(x.as_py()) for x in packed]
     key, follow, c = (np.concatenate([p[i] for p in parts]) for i in range(3))
     del parts
-    return _runs(key, follow, c)
+    pairs, rank = np.unique(key, return_inverse=True)
+    code = rank * size + follow + 1
+    by = np.argsort(code)
+    code = code[by]
+    start = np.flatnonzero(np.diff(code, prepend=-1))
+    return pairs[code[start] // size], code[start] % size - 1, np.add.reduceat(c[by], start)
 
 
 def _range_shards(m: Model, id_: Column) -> Column:
@@ -357,17 +374,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 each = weight[context] * ((counts + 1) / total)[token]
                 both = np.flatnonzero(known[context] & known[token])
                 pairs, at = np.unique((ids[context[both]] << 32) | ids[token[both]], return_inverse=True)
-                triples_too = len(model.levels) > 1
-                code, *more = find(model, 2, pairs >> 32, pairs & 0xFFFFFFFF, "codes", *["backoff"] * triples_too)
-                each[both] += _unquantised(code, 0.0)[at]
-                if triples_too:
-                    pair, weight = np.full(len(token), -1), np.ones(len(token))
-                    pair[both], weight[both] = at, _unquantised(more[0], 1.0)[at]
+                place = np.full(len(token), -1)
+                place[both] = at
+                asked, spread, seen = None, None, None
+                if len(model.levels) > 1:
                     after = np.flatnonzero(np.diff(s.doc) == 0) + 1  # all but first tokens
+                    seen = after[(place[after - 1] >= 0) & known[token[after]]]
+                    two, spread = np.unique(place[seen - 1] * len(ids) + token[seen], return_inverse=True)
+                    asked = (two // len(ids), ids[two % len(ids)])
+                code, back, triple = find(model, pairs >> 32, pairs & 0xFFFFFFFF, asked)
+                each[both] += _unquantised(code, 0.0)[at]
+                if asked:
+                    weight = np.ones(len(token))
+                    weight[both] = _unquantised(back, 1.0)[at]
                     each[after] *= weight[after - 1]
-                    seen = after[(pair[after - 1] >= 0) & known[token[after]]]
-                    two, at = np.unique(pair[seen - 1] * len(ids) + token[seen], return_inverse=True)
-                    each[seen] += _unquantised(find(model, 3, pairs[two // len(ids)], ids[two % len(ids)], "codes")[0], 0.0)[at]
+                    each[seen] += _unquantised(triple, 0.0)[spread]
                 each = np.log10(each)
                 per = lambda w: np.bincount(s.doc, w, n)
                 yield pa.RecordBatch.from_arrays(
@@ -375,4 +396,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(T.released(rows), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -26,6 +26,15 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+def trim() -> None:
+    """Gives free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free:
+        free(0)
+
+
 def released(make: Callable) -> Callable:
     """make, a function for mapInArrow; at the end of a task its worker, which waits for others, gives memory back."""
 
@@ -33,11 +42,19 @@ def released(make: Callable) -> Callable:
         try:
             yield from make(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            trim()
+
+    return run
+
+
+def released_table(make: Callable) -> Callable:
+    """The same for applyInArrow."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return make(table)
+        finally:
+            trim()
 
     return run
 

@@ -252,6 +252,13 @@ def test_elias_fano():
         assert (e.access(np.arange(n)) == v).all()
         assert (e.successor(x) == np.searchsorted(v, x)).all()
         assert (e.find(x) >= 0).tolist() == np.isin(x, v).tolist()
+        i = rng.integers(0, max(1, n - 1), 300) if n > 1 else np.zeros(0, np.int64)
+        assert all((a == b).all() for a, b in zip(e.ranges(i), (v[i].astype(np.int64), v[i + 1].astype(np.int64)) if n > 1 else (i, i), strict=True))
+        lo = rng.integers(0, n, len(x))
+        hi = np.minimum(n, lo + rng.integers(0, 30, len(x)))
+        at = e.find(x, lo, hi)
+        for y, a, b, k in zip(x, lo, hi, at, strict=True):
+            assert (k >= 0) == (y in v[a:b]) and (k < 0 or (a <= k < b and v[k] == y))
 
 
 def test_language_model(docs, empty):
