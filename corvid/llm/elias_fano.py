@@ -14,8 +14,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow.fs as pafs
 
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-_SELECT = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[:8] for b in range(256)], np.uint8)
+#: Halves of a word, and of its halves, with the masks of their lower ones.
+_HALVES = [(np.uint64(w), np.uint64((1 << w) - 1)) for w in (32, 16, 8, 4, 2, 1)]
 
 
 def save(path: str, array: np.ndarray) -> None:
@@ -42,17 +42,30 @@ def load(path: str) -> np.ndarray:
         local = f"{_cache().name}/{root.replace('/', '_')}"
         pafs.copy_files(root, local, source_filesystem=fs, destination_filesystem=pafs.LocalFileSystem())
         root = local
-    return np.load(root, mmap_mode="r")
+    return np.asarray(np.load(root, mmap_mode="r"))
 
 
 def _select_in_word(words: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """The place of the r-th set bit of each word."""
-    parts = words.astype("<u8").view(np.uint8).reshape(-1, 8)
-    ends = np.cumsum(_POP[parts], axis=1, dtype=np.int64)
-    byte = (ends <= r[:, None]).sum(axis=1)
-    rows = np.arange(len(words))
-    before = np.where(byte > 0, ends[rows, np.maximum(byte - 1, 0)], 0)
-    return byte * 8 + _SELECT[parts[rows, byte], r - before]
+    """The place of the r-th set bit of each word: into the upper half where the lower one has too few."""
+    rest, left, place = words.astype(np.uint64, copy=True), r.astype(np.int16), np.zeros(len(words), np.uint64)
+    for width, mask in _HALVES:
+        have = np.bitwise_count(rest & mask)
+        up = left >= have
+        left -= have * up
+        shift = width * up
+        rest >>= shift
+        place += shift
+    return place.astype(np.int64)
+
+
+def _next_bit(rest: np.ndarray) -> np.ndarray:
+    """The place of the lowest set bit of words that have one."""
+    return np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1))
+
+
+def _above(at: np.ndarray) -> np.ndarray:
+    """Words with all bits above a place set."""
+    return ~((np.uint64(2) << at.astype(np.uint64)) - np.uint64(1))
 
 
 class EliasFano:
@@ -110,9 +123,9 @@ class EliasFano:
         word = np.searchsorted(self.ranks, i, side="right") - 1
         bits = self.bits[word]
         at = _select_in_word(bits, i - self.ranks[word])
-        rest = bits & ~((np.uint64(2) << at.astype(np.uint64)) - np.uint64(1))
+        rest = bits & _above(at)
         place = word * 64 + at
-        following = word * 64 + np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1))
+        following = word * 64 + _next_bit(rest)
         low = np.uint64(self.low)
         first = ((place - i).astype(np.uint64) << low) | self._lows(i)
         then = ((following - i - 1).astype(np.uint64) << low) | self._lows(i + 1)
@@ -121,55 +134,67 @@ class EliasFano:
             then[far] = self.access(i[far] + 1)
         return first.astype(np.int64), then.astype(np.int64)
 
-    def _ones_before_zero(self, h: np.ndarray) -> np.ndarray:
-        """Numbers whose high part is at most h; h from -1."""
-        zeros = np.arange(len(self.ranks)) * 64 - self.ranks
-        out = np.zeros(len(h), np.int64)
-        some = h >= 0
-        past = some & (h >= zeros[-1])
-        out[past] = self.n
-        x = h[some & ~past]
-        word = np.searchsorted(zeros, x, side="right") - 1
-        out[some & ~past] = word * 64 + _select_in_word(~self.bits[word], x - zeros[word]) - x
-        return out
+    def _word_of_zero(self, h: np.ndarray) -> np.ndarray:
+        """The word that holds the h-th zero: zeros before a word are its bits less the ones before it."""
+        lo, hi = np.zeros(len(h), np.int64), np.full(len(h), len(self.bits) - 1)
+        for _ in range(len(self.bits).bit_length()):
+            mid = (lo + hi + 1) >> 1
+            up = mid * 64 - self.ranks[mid] <= h
+            lo, hi = np.where(up, mid, lo), np.where(up, hi, mid - 1)
+        return lo
+
+    def _run(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the numbers with a high part: from the zero before to the zero after them."""
+        a, b = np.zeros(len(high), np.int64), np.zeros(len(high), np.int64)
+        past = high > len(self.bits) * 64 - int(self.ranks[-1]) - 1
+        a[past], b[past] = self.n, self.n
+        live = np.flatnonzero(~past)
+        h = high[live]
+        word = self._word_of_zero(np.maximum(h - 1, 0))
+        zeros = ~self.bits[word]
+        at = _select_in_word(zeros, np.maximum(h - 1, 0) - (word * 64 - self.ranks[word]))
+        begin = np.where(h > 0, word * 64 + at + 1, 0)
+        rest = np.where(h > 0, zeros & _above(at), zeros)
+        end = word * 64 + _next_bit(rest)
+        far = np.flatnonzero(rest == 0)
+        if len(far):
+            w = self._word_of_zero(h[far])
+            end[far] = w * 64 + _select_in_word(~self.bits[w], h[far] - (w * 64 - self.ranks[w]))
+        a[live], b[live] = begin - h, end - h
+        return a, b
 
-    def successor(self, x: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | int | None = None) -> np.ndarray:
-        """The first place from lo on, and below hi, whose number is at least x; hi where there is none."""
-        x = x.astype(np.uint64)
+    def _search(self, x: np.ndarray, lo: np.ndarray | int, hi: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Successors from lo on and below hi, the ends of the runs that were searched, and the low parts sought."""
         high, small = (x >> np.uint64(self.low)).astype(np.int64), x & np.uint64((1 << self.low) - 1)
-        lo, hi = np.broadcast_to(lo, x.shape), np.broadcast_to(self.n if hi is None else hi, x.shape)
-        a, b = np.clip(self._ones_before_zero(high - 1), lo, hi), np.clip(self._ones_before_zero(high), lo, hi)
+        a, b = self._run(high)
+        a, b = np.clip(a, lo, hi), np.clip(b, lo, hi)
+        end = b.copy()
         live = np.flatnonzero(a < b)
-        a, b = a.copy(), b.copy()
         while len(live):
             mid = (a[live] + b[live]) >> 1
             less = self._lows(mid) < small[live]
             a[live[less]] = mid[less] + 1
             b[live[~less]] = mid[~less]
             live = live[a[live] < b[live]]
-        return a
+        return a, end, small
 
-    def find(self, x: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | int | None = None) -> np.ndarray:
-        """The place of x from lo on and below hi, or -1."""
-        if not self.n or not len(x):
-            return np.full(len(x), -1)
-        if isinstance(hi, np.ndarray):
-            return self._find_within(x.astype(np.uint64), np.asarray(lo), hi)
-        at = self.successor(x, lo, hi)
-        inside = at < (self.n if hi is None else hi)
-        same = np.zeros(len(x), bool)
-        same[inside] = self.access(at[inside]) == x[inside].astype(np.uint64)
-        return np.where(same, at, -1)
-
-    def _find_within(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, few: int = 4) -> np.ndarray:
-        """find() in ranges: those of at most `few` numbers are read one by one, wider ones by successor search."""
+    def successor(self, x: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | int | None = None) -> np.ndarray:
+        """The first place from lo on, and below hi, whose number is at least x; hi where there is none."""
+        return self._search(x.astype(np.uint64), lo, self.n if hi is None else hi)[0]
+
+    def find(self, x: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | int | None = None, few: int = 4) -> np.ndarray:
+        """The place of x from lo on and below hi, or -1. Ranges of at most `few` numbers are read one by one, wider ones by successor search."""
         out = np.full(len(x), -1)
+        if not self.n or not len(x):
+            return out
+        x = x.astype(np.uint64)
+        lo, hi = np.broadcast_to(lo, x.shape), np.broadcast_to(self.n if hi is None else hi, x.shape)
         wide = np.flatnonzero(hi - lo > few)
         if len(wide):
-            at = self.successor(x[wide], lo[wide], hi[wide])
-            inside = np.flatnonzero(at < hi[wide])
-            same = self.access(at[inside]) == x[wide[inside]]
-            out[wide[inside[same]]] = at[inside[same]]
+            at, end, small = self._search(x[wide], lo[wide], hi[wide])
+            inside = np.flatnonzero(at < end)  # the high parts are equal there
+            same = inside[self._lows(at[inside]) == small[inside]]
+            out[wide[same]] = at[same]
         live, step = np.flatnonzero((hi > lo) & (hi - lo <= few)), 0
         while len(live):
             at = lo[live] + step
