@@ -41,7 +41,7 @@ from corvid.llm.scratch import bounded_batches, fresh_dir
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
 #: Steps of one unit of log10.
 SCALE = 4096
-_PIECE = T.PIECE_BYTES // 2
+_PIECE = T.PIECE_BYTES
 #: The context of rows that only name a shard.
 _NONE = -(1 << 40)
 
@@ -164,9 +164,13 @@ def find(m: Model, context: np.ndarray, word: np.ndarray, after: tuple[np.ndarra
         if shard not in two:
             continue
         contexts, pointers, ids = _level(m.path, 2, shard)
-        place = contexts.find(context[rows])
-        rows, place = rows[place >= 0], place[place >= 0]
-        at = ids.find(place * (m.words + 1) + word[rows], *pointers.ranges(place))
+        own = context[rows]
+        new = np.append(True, own[1:] != own[:-1])  # pairs in order look their context up once
+        place = contexts.find(own[new])
+        lo, hi = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        lo[place >= 0], hi[place >= 0] = pointers.ranges(place[place >= 0])
+        of = np.cumsum(new) - 1
+        at = ids.find(place[of] * (m.words + 1) + word[rows], lo[of], hi[of])
         rows, at = rows[at >= 0], at[at >= 0]
         pair[rows] = _column(m.path, 2, shard, "codes")[at]
         if len(m.levels) > 1:
