@@ -40,7 +40,7 @@ from corvid.llm.scratch import bounded_batches, stage
 #: Bytes of text in a block, at least one document.
 BLOCK_BYTES = 4 << 20
 #: The rank of pairs that do not merge; and an entry that no first id matches.
-_NONE, _FREE = 65535, 1 << 62
+_NONE, _FREE = 65535, 1 << 49
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -62,7 +62,7 @@ def mergeable(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 
 def displacement_table(pairs: dict[tuple[int, int], int], buckets: int = 65521) -> tuple[np.ndarray, np.ndarray]:
     """(displacement by bucket, table): the table has key * 65536 + rank, or _FREE; key: first id * 65536 + second id."""
-    slots = next(p for p in (65537, 131101, 262147, 524309, 1048583, 2097169) if p > 1.5 * len(pairs))
+    slots = next(p for p in (65537, 131101, 196613, 262147, 393241, 524309, 1048583, 2097169) if p > 1.25 * len(pairs))
     keys = np.array([a * 65536 + b for a, b in pairs], np.int64)
     values = keys * 65536 + np.array(list(pairs.values()), np.int64)
     order = np.argsort(keys % buckets, kind="stable")
@@ -259,6 +259,7 @@ def common_words(docs: DataFrame, ranks: str, pattern: str, common: int, sample_
     ids = most.select("word", merge_expression(ranks)(_bytes_of(F.col("word"))).alias("ids"))
     found = ids.select("word", "ids", piece_expression(ranks)(F.col("ids")).alias("piece")).toArrow().combine_chunks()
     off, flat = T.lists(_whole(found.column("ids")))
+    T.trim()
     return _whole(found.column("word")), T.binary_array(flat.to_numpy().astype("<u4").view(np.uint8), off * 4), _whole(found.column("piece"))
 
 

@@ -155,7 +155,10 @@ def train(docs: DataFrame, labels: DataFrame, dims: int = 1 << 20, sample_rows:
 
     rows = listed.mapInArrow(few, "toxic int, terms array<int>").toArrow()
     off, flat = T.lists(rows.column("terms").combine_chunks()) if rows.num_rows else (np.zeros(1, np.int64), pa.array([], pa.int32()))
-    return fit(flat.to_numpy(), off, rows.column("toxic").to_numpy().astype(float), dims, **options)
+    machine = fit(flat.to_numpy(), off, rows.column("toxic").to_numpy().astype(float), dims, **options)
+    del rows, flat, off
+    T.trim()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
