@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm import text as T
-from corvid.llm.scratch import bounded_batches, stage
+from corvid.llm.scratch import bounded_batches, short_plans, stage
 
 #: Bytes of text in a block, at least one document.
 BLOCK_BYTES = 4 << 20
@@ -285,6 +285,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, block_bytes: int = BLOCK_B
     sample_rows bound the dictionary, none at common 0.
     """
     bounded_batches(docs.sparkSession)
+    short_plans(docs.sparkSession)
     often, *coded_ = common_words(docs, ranks, pattern, common, sample_rows, longest)
     dictionary, pieces_of, key = docs.sparkSession.sparkContext.broadcast(often), docs.sparkSession.sparkContext.broadcast(coded_), uuid.uuid4().hex
 

@@ -49,6 +49,13 @@ def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
         spark.conf.set(key, most)
 
 
+def short_plans(spark: SparkSession, most: int = 200_000) -> None:
+    """Bounds the descriptions of plans, where the session does not say: the driver keeps those of all queries, and literal tables would fill them."""
+    key = "spark.sql.maxPlanStringLength"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, most)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
