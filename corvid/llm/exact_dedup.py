@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 
 from corvid.llm.scratch import fresh_dir, row_digest, stage
 
-#: State on disk; without preallocated files, which would take megabytes for every state partition.
+#: State on disk; without preallocated files, which would take megabytes for every state partition, and in bounded memory of an executor.
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 _SEEN = "doc_id long, row_hash binary, digest binary, sha binary, file string"
 

@@ -101,7 +101,7 @@ def signatures(docs: DataFrame, shingle: int, t: int, rows: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in T.pieces(batch, most=T.PIECE_BYTES // 2):
+            for x in T.pieces(batch, most=T.PIECE_BYTES // 4):
                 elements, off = shingle_sets(T.column(x, "text"), shingle)
                 keys = band_keys(sketches(elements, off, t), rows)
                 n, ends = np.diff(off), off.tolist()
@@ -111,7 +111,7 @@ def signatures(docs: DataFrame, shingle: int, t: int, rows: int) -> DataFrame:
                 flat = pa.array(keys[n > 0].reshape(-1).view(np.int64))
                 yield pa.RecordBatch.from_arrays([T.column(x, "doc_id"), T.column(x, "row_hash"), pa.array(n), pa.array(cls, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], ["doc_id", "row_hash", "n_shingles", "cls", "bands"])
 
-    return _docs(docs).mapInArrow(make, "doc_id long, row_hash binary, n_shingles long, cls binary, bands array<long>")
+    return _docs(docs).mapInArrow(T.released(make), "doc_id long, row_hash binary, n_shingles long, cls binary, bands array<long>")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -219,13 +219,13 @@ def full_sets(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in T.pieces(batch):
+            for x in T.pieces(batch, most=T.PIECE_BYTES // 4):
                 elements, off = shingle_sets(T.column(x, "text"), shingle)
                 yield pa.RecordBatch.from_arrays([T.column(x, "cls"), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(elements.view(np.int64)))], ["cls", "elements"])
 
     d = _docs(docs)
     r = classes.select("cls", F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"))
-    return d.join(r, d.doc_id.eqNullSafe(r._id) & (d.row_hash == r._hash)).dropDuplicates(["cls"]).select("cls", "text").mapInArrow(make, "cls binary, elements array<long>")
+    return d.join(r, d.doc_id.eqNullSafe(r._id) & (d.row_hash == r._hash)).dropDuplicates(["cls"]).select("cls", "text").mapInArrow(T.released(make), "cls binary, elements array<long>")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.75, t: int = 128, rows: int = 4) -> DataFrame:
