@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm import text as T
-from corvid.llm.scratch import bounded_batches, short_plans, stage
+from corvid.llm.scratch import bounded_batches, short_plans, stage, tidy_driver
 
 #: Bytes of text in a block, at least one document.
 BLOCK_BYTES = 4 << 20
@@ -259,7 +259,7 @@ def common_words(docs: DataFrame, ranks: str, pattern: str, common: int, sample_
     ids = most.select("word", merge_expression(ranks)(_bytes_of(F.col("word"))).alias("ids"))
     found = ids.select("word", "ids", piece_expression(ranks)(F.col("ids")).alias("piece")).toArrow().combine_chunks()
     off, flat = T.lists(_whole(found.column("ids")))
-    T.trim()
+    tidy_driver(docs.sparkSession)
     return _whole(found.column("word")), T.binary_array(flat.to_numpy().astype("<u4").view(np.uint8), off * 4), _whole(found.column("piece"))
 
 
@@ -286,6 +286,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, block_bytes: int = BLOCK_B
     """
     bounded_batches(docs.sparkSession)
     short_plans(docs.sparkSession)
+    tidy_driver(docs.sparkSession)
     often, *coded_ = common_words(docs, ranks, pattern, common, sample_rows, longest)
     dictionary, pieces_of, key = docs.sparkSession.sparkContext.broadcast(often), docs.sparkSession.sparkContext.broadcast(coded_), uuid.uuid4().hex
 

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvid.llm.text import trim
+
 _OWN: dict[str, list[str]] = {}
 #: Folders of sessions that name none, by application.
 _LOCAL: dict[str, str] = {}
@@ -56,6 +58,12 @@ def short_plans(spark: SparkSession, most: int = 200_000) -> None:
         spark.conf.set(key, most)
 
 
+def tidy_driver(spark: SparkSession) -> None:
+    """Lets the driver give back what its last plan took, before the next large one."""
+    trim()
+    spark._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
