@@ -12,7 +12,7 @@ from corvid.staging import stage
 def constraint_components(footprints: DataFrame) -> DataFrame:
     """(constraint, component) by shared cells, transitively; footprints: (constraint, cell)."""
     links = footprints.select(F.concat(F.lit("c"), F.col("constraint").cast("string")).alias("a"), F.concat(F.lit("x"), F.col("cell").cast("string")).alias("b")).distinct()
-    return components(links).filter("node LIKE 'c%'").select(F.substring("node", 2, 40).alias("constraint"), F.substring("label", 2, 40).alias("component"))
+    return components(links).filter("node LIKE 'c%'").select(F.expr("substring(node, 2)").alias("constraint"), F.expr("substring(label, 2)").alias("component"))
 
 
 def relevant_constraints(footprints: DataFrame, cells: DataFrame) -> DataFrame:

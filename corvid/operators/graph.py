@@ -153,6 +153,10 @@ def min_distances(graph: DataFrame, sources: DataFrame, max_steps: int = 10_000)
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if d % 8 == 0:  # else plans and reads grow with the steps
+            seen = stage(seen)
+    else:
+        raise RuntimeError(f"not done after {max_steps} steps")
     return seen
 
 
@@ -175,6 +179,8 @@ def _lightest(hops: DataFrame, starts: DataFrame, max_steps: int) -> DataFrame:
         if front.isEmpty():
             break
         best = stage(best.join(front.select("query_id", "node"), ["query_id", "node"], "left_anti").unionByName(front))
+    else:
+        raise RuntimeError(f"not done after {max_steps} steps")
     return best
 
 
@@ -288,6 +294,8 @@ def min_dist_fixpoint(graph: DataFrame, goals: DataFrame, max_steps: int = 10_00
         if front.isEmpty():
             break
         best = stage(best.join(front.select("node"), "node", "left_anti").unionByName(front))
+    else:
+        raise RuntimeError(f"not done after {max_steps} steps")
     return best
 
 

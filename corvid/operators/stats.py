@@ -10,15 +10,74 @@ from pyspark.sql.window import Window
 
 #: Columns that hold microseconds.
 TIMES = ("UserTime", "WallTime", "QueryTime", "SolverTime", "CexCacheTime", "ForkTime", "ResolveTime")
-#: Report presets.
+#: Stored columns of each report preset; any other name stands for the default.
 PRESETS = {
-    "default": ("Path", "Instrs", "Time(s)", "ICov(%)", "BCov(%)", "ICount", "TSolver(%)"),
-    "rel": ("Path", "Time(s)", "TUser(%)", "TSolver(%)", "TCex(%)", "TFork(%)"),
-    "abs": ("Path", "Time(s)", "TUser(s)", "TSolver(s)", "TCex(s)", "TFork(s)"),
-    "more": ("Path", "Instrs", "Time(s)", "ICov(%)", "BCov(%)", "ICount", "TSolver(%)", "States", "MaxStates", "AvgStates", "Mem(MiB)", "MaxMem(MiB)"),
+    "default": ("Path", "Instructions", "WallTime", "ICov", "BCov", "ICount", "RelSolverTime"),
+    "reltime": ("Path", "WallTime", "RelUserTime", "RelSolverTime", "RelCexCacheTime", "RelForkTime", "RelResolveTime"),
+    "abstime": ("Path", "WallTime", "UserTime", "SolverTime", "CexCacheTime", "ForkTime", "ResolveTime"),
+    "more": ("Path", "Instructions", "WallTime", "ICov", "BCov", "ICount", "RelSolverTime", "NumStates", "MaxStates", "MallocUsage", "MaxMem"),
+}
+#: Report names of stored columns, in the order of the report.
+LEGEND = {
+    "Instructions": "Instrs",
+    "WallTime": "Time(s)",
+    "ICov": "ICov(%)",
+    "BCov": "BCov(%)",
+    "ICount": "ICount",
+    "RelSolverTime": "TSolver(%)",
+    "CoveredInstructions": "ICovered",
+    "UncoveredInstructions": "IUncovered",
+    "NumBranches": "Branches",
+    "FullBranches": "FullBranches",
+    "PartialBranches": "PartialBranches",
+    "ExternalCalls": "ExternalCalls",
+    "UserTime": "TUser(s)",
+    "ResolveTime": "TResolve(s)",
+    "RelResolveTime": "TResolve(%)",
+    "CexCacheTime": "TCex(s)",
+    "RelCexCacheTime": "TCex(%)",
+    "QueryTime": "TQuery(s)",
+    "SolverTime": "TSolver(s)",
+    "States": "States",
+    "NumStates": "ActiveStates",
+    "MaxStates": "MaxActiveStates",
+    "AvgStates": "AvgActiveStates",
+    "InhibitedForks": "InhibitedForks",
+    "Queries": "Queries",
+    "SolverQueries": "SolverQueries",
+    "NumQueryConstructs": "SolverQueryConstructs",
+    "AvgQC": "AvgSolverQuerySize",
+    "QueryCacheMisses": "QCacheMisses",
+    "QueryCacheHits": "QCacheHits",
+    "QueryCexCacheMisses": "QCexCacheMisses",
+    "QueryCexCacheHits": "QCexCacheHits",
+    "Allocations": "Allocations",
+    "MallocUsage": "Mem(MiB)",
+    "MaxMem": "MaxMem(MiB)",
+    "AvgMem": "AvgMem(MiB)",
+    "BranchesConditional": "BrConditional",
+    "BranchesIndirect": "BrIndirect",
+    "BranchesSwitch": "BrSwitch",
+    "BranchesCall": "BrCall",
+    "BranchesMemOp": "BrMemOp",
+    "BranchesResolvePointer": "BrResolvePointer",
+    "BranchesAlloc": "BrAlloc",
+    "BranchesRealloc": "BrRealloc",
+    "BranchesFree": "BrFree",
+    "BranchesGetVal": "BrGetVal",
+    "TerminationExit": "TermExit",
+    "TerminationEarly": "TermEarly",
+    "TerminationSolverError": "TermSolverErr",
+    "TerminationProgramError": "TermProgrErr",
+    "TerminationUserError": "TermUserErr",
+    "TerminationExecutionError": "TermExecErr",
+    "TerminationEarlyAlgorithm": "TermEarlyAlgo",
+    "TerminationEarlyUser": "TermEarlyUser",
+    "ArrayHashTime": "TArrayHash(s)",
+    "ForkTime": "TFork(s)",
+    "RelForkTime": "TFork(%)",
+    "RelUserTime": "TUser(%)",
 }
-#: Report names of stored columns.
-LEGEND = {"Instructions": "Instrs", "WallTime": "Time(s)", "UserTime": "TUser(s)", "SolverTime": "TSolver(s)", "CexCacheTime": "TCex(s)", "ForkTime": "TFork(s)", "ResolveTime": "TResolve(s)", "QueryTime": "TQuery(s)", "NumStates": "States", "MallocUsage": "Mem(MiB)"}
 
 
 def last_record(df: DataFrame, run: str = "run", seq: str = "seq") -> DataFrame:
@@ -52,7 +111,7 @@ def with_derived(df: DataFrame) -> DataFrame:
 
 
 def select_preset(df: DataFrame, preset: str) -> DataFrame:
-    return df if preset == "all" else df.select(*[F.col(f"`{c}`") for c in PRESETS[preset] if c in df.columns])
+    return df if preset == "all" else df.select(*[F.col(f"`{c}`") for c in PRESETS.get(preset, PRESETS["default"]) if c in df.columns])
 
 
 def select_user(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -21,11 +21,20 @@ def children(tree: DataFrame) -> DataFrame:
     return tree.select("id", F.explode(F.array("left", "right")).alias("child")).filter("child <> 0")
 
 
+def _one_less(doublings: int) -> int:
+    """A chain of n nodes ends after log2(n) doublings; a longer one is a loop."""
+    if not doublings:
+        raise ValueError("the tree has a loop")
+    return doublings - 1
+
+
 def with_depth(tree: DataFrame) -> DataFrame:
     """tree with depth (root: 1), by pointer doubling: log2(depth) joins instead of one per level."""
     up = children(tree).select(F.col("child").alias("id"), F.col("id").alias("up"), F.lit(1).alias("d"))
     at = stage(tree.select("id").join(up, "id", "left").select("id", "up", F.coalesce("d", F.lit(0)).alias("d")))
+    doublings = tree.count().bit_length() + 1
     while not at.filter("up IS NOT NULL").isEmpty():
+        doublings = _one_less(doublings)
         over = at.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"))
         at = stage(at.join(over, "up", "left").select("id", F.col("up2").alias("up"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")))
     return tree.join(at.select("id", (F.col("d") + 1).alias("depth")), "id")
@@ -80,7 +89,9 @@ def compress_tree(tree: DataFrame) -> DataFrame:
     """The tree without its single-child nodes: each child pointer goes on to the next node with two or no children."""
     one = tree.filter("(left = 0) <> (right = 0)").select("id", F.greatest("left", "right").alias("to"))
     hop = stage(one)
+    doublings = hop.count().bit_length() + 1
     while True:
+        doublings = _one_less(doublings)
         far = hop.select(F.col("id").alias("to"), F.col("to").alias("to2"))
         new = stage(hop.join(far, "to", "left").select("id", F.coalesce("to2", "to").alias("to"), F.col("to2").isNotNull().alias("moved")))
         if new.filter("moved").isEmpty():

@@ -50,17 +50,21 @@ def description_en(descriptions: Column) -> Column:
     return F.coalesce(F.get(F.filter(descriptions, lambda d: d["lang"] == "en"), F.lit(0))["value"], F.get(descriptions, F.lit(0))["value"])
 
 
-def filter_cves(df: DataFrame, min_score: float | None = None, allow_no_score: bool = True, allow_disputed: bool = False, allow_deferred: bool = False, allow_rejected: bool = True, ids: list[str] | None = None) -> DataFrame:
-    """CVEs (id, score, tags, status) that pass all predicates. A score of null or 0 is no score; with a least score, those are dropped."""
+def filter_cves(df: DataFrame, min_score: float = 0.0, allow_no_score: bool = False, allow_disputed: bool = True, allow_deferred: bool = True, allow_rejected: bool = False, ids: list[str] | None = None) -> DataFrame:
+    """CVEs (id, score, tags, status) that pass all predicates.
+
+    A score of null or 0 is no score, which the least score does not judge. Statuses are compared without
+    case; no ids, or none in the list, allow all.
+    """
     scored = F.col("score").isNotNull() & (F.col("score") != 0)
-    keep = F.when(scored, F.col("score") >= min_score if min_score is not None else F.lit(True)).otherwise(F.lit(allow_no_score and min_score is None))
+    keep = F.when(scored, F.col("score") >= min_score).otherwise(F.lit(allow_no_score))
     if not allow_disputed:
         keep = keep & ~F.coalesce(F.array_contains("tags", "disputed"), F.lit(False))
-    if ids is not None:
+    if ids:
         keep = keep & F.col("id").isin(ids)
-    for allowed, status in ((allow_deferred, "Deferred"), (allow_rejected, "Rejected")):
+    for allowed, status in ((allow_deferred, "deferred"), (allow_rejected, "rejected")):
         if not allowed:
-            keep = keep & ~F.col("status").eqNullSafe(status)
+            keep = keep & ~F.lower("status").eqNullSafe(status)
     return df.filter(keep)
 
 
@@ -94,7 +98,7 @@ def attach_package_version(findings: DataFrame, manifests: DataFrame) -> DataFra
     return findings.join(of("overlay"), "package", "left").join(of("root"), "package", "left").withColumn("version", F.coalesce("_overlay", "_root")).drop("_overlay", "_root")
 
 
-def resolve_functions(findings: DataFrame, functions: DataFrame) -> DataFrame:
+def match_functions(findings: DataFrame, functions: DataFrame) -> DataFrame:
     """finding with its best function: exact name in a file that contains the finding's, else a part of the demangled name; ties by mid, nid.
 
     Exact names are an equi join; only findings without one are compared by parts.
@@ -134,12 +138,13 @@ def with_module_file(nodes: DataFrame) -> DataFrame:
     return nodes.join(m, "mid", "left")
 
 
-#: Sanitizer flag by CWE; CWE 0 stands for all of them.
-SANITIZERS = {121: "stack", 122: "heap", 123: "write", 125: "read", 369: "divide", 476: "null", 590: "free"}
+#: Offsets of the sanitizers that a CWE needs; CWE 0 stands for all of them.
+SANITIZERS = {0: [0, 1, 2, 3, 4, 5], 121: [0], 122: [0], 123: [0], 125: [0], 131: [0], 190: [4], 369: [3], 476: [1], 590: [2], 787: [0], 1335: [5]}
 
 
 def sanitizer_flags(findings: DataFrame, cwe: str = "cwe") -> DataFrame:
-    table = F.create_map(*[x for k, v in SANITIZERS.items() for x in (F.lit(k), F.array(F.lit(v)))], F.lit(0), F.array(*[F.lit(v) for v in SANITIZERS.values()]))
+    """Findings with one row per sanitizer offset of their CWE, a null offset where the CWE has none."""
+    table = F.create_map(*[x for k, v in SANITIZERS.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v]))])
     return findings.withColumn("flag", F.explode_outer(F.try_element_at(table, F.col(cwe))))
 
 

@@ -112,9 +112,10 @@ def proj_rename_legend(spark, d):
     return S.rename_legend(wide(spark, d)).select("Path", "Instrs", "`Time(s)`")
 
 
-@query("proj_preset_columns", f"WITH {_W} SELECT \"Path\", n AS \"Instrs\", CAST(l * 1000 AS BIGINT) AS \"Time(s)\" FROM w")
+@query("proj_preset_columns", f"WITH {_W} SELECT \"Path\", n AS \"Instrs\", round(l * 0.001::DOUBLE, 6) AS \"Time(s)\", round(100.0::DOUBLE * a / n, 6) AS \"ICov(%)\", round(100.0::DOUBLE * (2 * f + one) / (4 * n), 6) AS \"BCov(%)\", n AS \"ICount\", 30.0::DOUBLE AS \"TSolver(%)\" FROM w")
 def proj_preset_columns(spark, d):
-    return S.select_preset(S.rename_legend(wide(spark, d)), "default")
+    x = S.rename_legend(S.select_preset(S.with_derived(wide(spark, d)), "default"))
+    return x.select(*[F.round(F.col(f"`{c}`"), 6).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in x.dtypes])
 
 
 @query("proj_user_columns", f"WITH {_W} SELECT n AS \"Instructions\", \"Path\" FROM w")
@@ -122,10 +123,10 @@ def proj_user_columns(spark, d):
     return S.select_user(wide(spark, d), ["Instructions", "Path"])
 
 
-@query("sort_headers", f"WITH {_W} SELECT \"Path\", n AS \"Instrs\", CAST(2 * n AS BIGINT) AS \"NumBranches\" FROM w")
-@query("except_columns", f"WITH {_W} SELECT \"Path\", n AS \"Instrs\", CAST(2 * n AS BIGINT) AS \"NumBranches\" FROM w")
+@query("sort_headers", f"WITH {_W} SELECT \"Path\", n AS \"Instrs\", CAST(2 * n AS BIGINT) AS \"Branches\" FROM w")
+@query("except_columns", f"WITH {_W} SELECT \"Path\", n AS \"Instrs\", CAST(2 * n AS BIGINT) AS \"Branches\" FROM w")
 def sort_headers(spark, d):
-    return S.order_headers(S.rename_legend(wide(spark, d)).select("NumBranches", "Path", "Instrs"))
+    return S.order_headers(S.rename_legend(wide(spark, d)).select("Branches", "Path", "Instrs"))
 
 
 @query("limit_schema", "SELECT unnest(['r_regionkey', 'r_name']) AS \"column\", unnest([0, 1]) AS pos")

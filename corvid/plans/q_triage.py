@@ -15,9 +15,9 @@ def cves(spark, d):
     return e.select(F.col("event_id").cast("string").alias("id"), score.alias("score"), F.when(F.col("event_type") == "click", F.array(F.lit("disputed"))).otherwise(F.array().cast("array<string>")).alias("tags"), F.when(F.col("event_id") % 9 == 0, "Deferred").when(F.col("event_id") % 9 == 1, "Rejected").otherwise("Analyzed").alias("status"))
 
 
-@query("filter_cve_chain", "SELECT CAST(event_id AS VARCHAR) AS id FROM events WHERE event_id % 6 > 1 AND event_id % 100 >= 50 AND event_type <> 'click' AND event_id % 9 > 0")
+@query("filter_cve_chain", "SELECT CAST(event_id AS VARCHAR) AS id FROM events WHERE event_id % 6 > 1 AND event_id % 100 >= 50 AND event_type <> 'click' AND event_id % 9 > 1")
 def filter_cve_chain(spark, d):
-    return T.filter_cves(cves(spark, d), min_score=5.0).select("id")
+    return T.filter_cves(cves(spark, d), min_score=5.0, allow_disputed=False, allow_deferred=False).select("id")
 
 
 @query("anti_missing_ids", "SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderkey NOT IN (SELECT event_id FROM events WHERE event_id % 3 = 0)")
@@ -85,9 +85,9 @@ def join_vcpkg_version(spark, d):
     return T.attach_package_version(p, over.unionByName(root))
 
 
-@query("join_cwe_patch", "WITH m AS (SELECT unnest([121, 122, 123, 125, 369, 476, 590]) AS cwe, unnest(['stack', 'heap', 'write', 'read', 'divide', 'null', 'free']) AS flag), s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 0 THEN 0 ELSE 120 + s_suppkey % 7 END AS cwe FROM supplier) SELECT s_suppkey, s.cwe, flag FROM s LEFT JOIN m ON m.cwe = s.cwe OR s.cwe = 0")
+@query("join_cwe_patch", "WITH m AS (SELECT unnest([121, 122, 123, 125, 131, 190, 369, 476, 590, 787, 1335, 0, 0, 0, 0, 0, 0]) AS cwe, unnest([0, 0, 0, 0, 0, 4, 3, 1, 2, 0, 5, 0, 1, 2, 3, 4, 5]) AS flag), k AS (SELECT [0, 121, 122, 124, 190, 369, 476, 590, 787, 1335] AS l), s AS (SELECT s_suppkey, l[s_suppkey % 10 + 1] AS cwe FROM supplier, k) SELECT s_suppkey, s.cwe, flag FROM s LEFT JOIN m ON m.cwe = s.cwe")
 def join_cwe_patch(spark, d):
-    s = table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 10 == 0, 0).otherwise(120 + F.col("s_suppkey") % 7).cast("int").alias("cwe"))
+    s = table(spark, d, "supplier").select("s_suppkey", F.get(F.array(*[F.lit(c) for c in (0, 121, 122, 124, 190, 369, 476, 590, 787, 1335)]), (F.col("s_suppkey") % 10).cast("int")).alias("cwe"))
     return T.sanitizer_flags(s)
 
 
@@ -105,19 +105,19 @@ s AS (SELECT s_suppkey AS finding, CASE s_suppkey % 3 WHEN 0 THEN 'f' || s_suppk
 m AS (SELECT finding, 1 AS tier, min(nid) AS nid, count(*) AS candidates FROM s JOIN f ON name = fn GROUP BY finding),
 z AS (SELECT finding, 2 AS tier, min(nid) AS nid, count(*) AS candidates FROM s JOIN f ON contains(demangled, fn) WHERE finding NOT IN (SELECT finding FROM m) GROUP BY finding),
 a AS (SELECT * FROM m UNION ALL SELECT * FROM z)"""
-_RESOLVED = f"WITH {_RES} SELECT s.finding, a.nid, CAST(a.tier AS INTEGER) AS tier, a.candidates FROM s LEFT JOIN a ON a.finding = s.finding"
+_MATCHED = f"WITH {_RES} SELECT s.finding, a.nid, CAST(a.tier AS INTEGER) AS tier, a.candidates FROM s LEFT JOIN a ON a.finding = s.finding"
 
 
-@query("pred_exact_then_fuzzy", _RESOLVED)
-@query("win_first_match", _RESOLVED)
-@query("join_sink_function", _RESOLVED)
+@query("pred_exact_then_fuzzy", _MATCHED)
+@query("win_first_match", _MATCHED)
+@query("join_sink_function", _MATCHED)
 def join_sink_function(spark, d):
-    return T.resolve_functions(_findings(spark, d), _functions(spark, d)).select("finding", "nid", "tier", "candidates")
+    return T.match_functions(_findings(spark, d), _functions(spark, d)).select("finding", "nid", "tier", "candidates")
 
 
 @query("sink_reach_report", f"WITH {_RES} SELECT s.finding, CASE WHEN a.nid IS NULL THEN 'NOT_FOUND' WHEN s.finding % 5 = 0 THEN 'NOT_VULNERABLE' WHEN s.finding % 4 = 0 THEN 'UNKNOWN' WHEN s.finding % 2 = 1 THEN 'REACHABLE' ELSE 'NOT_REACHABLE' END AS status FROM s LEFT JOIN a ON a.finding = s.finding")
 def sink_reach_report(spark, d):
-    r = T.resolve_functions(_findings(spark, d), _functions(spark, d))
+    r = T.match_functions(_findings(spark, d), _functions(spark, d))
     return T.classify(r.withColumns({"vulnerable": F.col("finding") % 5 > 0, "searched": F.col("finding") % 4 > 0, "n_paths": F.col("finding") % 2})).select("finding", "status")
 
 

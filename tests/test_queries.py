@@ -12,7 +12,7 @@ from corvid.session import TABLES
 from corvid.sources.files import parse_ktest, read_stream
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["dijkstra_path", "graph_cfg", "distmap_blacklist", "tree_dfs", "agg_tree_info", "win_last_record", "filter_cve_chain", "join_sink_function", "join_interval_floor", "connected_constraints", "bv_add", "bv_shl", "q_validity", "validate_vuln_doc"]
+NAMES = ["proj_preset_columns", "proj_rename_legend", "sort_headers", "join_cwe_patch", "min_distances", "tree_compress", "dijkstra_path", "graph_cfg", "distmap_blacklist", "tree_dfs", "agg_tree_info", "win_last_record", "filter_cve_chain", "join_sink_function", "join_interval_floor", "connected_constraints", "bv_add", "bv_shl", "q_validity", "validate_vuln_doc"]
 
 
 @pytest.fixture(scope="module")
@@ -90,3 +90,36 @@ def test_k_lightest_paths_of_any_length(spark):
     want = [(q, r, c, ns) for q, a, b in asked if a != b for r, (c, _, ns) in enumerate(sorted(paths(a, b, 0.0, [a]))[:3], 1)]
     got = G.run_queries(spark.createDataFrame(edges, "src string, dst string, type string, weight double"), spark.createDataFrame(asked, "query_id long, src string, dst string"), k=3)
     assert sorted((r.query_id, r.rank, r.cost, r.nodes) for r in got.collect()) == sorted(want)
+
+
+def test_filter_cves_defaults(spark):
+    """Unscored and rejected ones go, disputed and deferred ones stay; a least score does not judge the unscored."""
+    from corvid.operators.triage import filter_cves
+
+    rows = [("a", 7.0, [], "Analyzed"), ("b", None, [], "Analyzed"), ("c", 0.0, [], "Analyzed"), ("d", 3.0, ["disputed"], None), ("e", 9.0, [], "DEFERRED"), ("f", 9.0, [], "rejected")]
+    df = spark.createDataFrame(rows, "id string, score double, tags array<string>, status string")
+    ids = lambda **k: sorted(r.id for r in filter_cves(df, **k).collect())
+    assert ids() == ["a", "d", "e"]
+    assert ids(min_score=5.0) == ["a", "e"]
+    assert ids(min_score=5.0, allow_no_score=True) == ["a", "b", "c", "e"]
+    assert ids(allow_disputed=False, allow_deferred=False, allow_rejected=True) == ["a", "f"]
+    assert ids(ids=[]) == ["a", "d", "e"] and ids(ids=["a", "b"]) == ["a"]
+
+
+def test_loops_and_limits_raise(spark):
+    from corvid.operators.tree import compress_tree, with_depth
+
+    loop = spark.createDataFrame([(1, 2, 0), (2, 1, 0)], "id long, left long, right long")
+    for f in (compress_tree, with_depth):
+        with pytest.raises(ValueError):
+            f(loop).count()
+    chain = spark.createDataFrame([(i, i + 1) for i in range(7)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        G.min_distances(chain, spark.createDataFrame([(0, 0)], "query_id long, node long"), max_steps=3)
+
+
+def test_report_tables():
+    from corvid.operators.stats import LEGEND, PRESETS
+
+    assert len(LEGEND) == 58 and LEGEND["NumStates"] == "ActiveStates" and LEGEND["RelSolverTime"] == "TSolver(%)"
+    assert all(c == "Path" or c in LEGEND for p in PRESETS.values() for c in p)
