@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,9 +60,18 @@ def short_plans(spark: SparkSession, most: int = 200_000) -> None:
 
 
 def tidy_driver(spark: SparkSession) -> None:
-    """Lets the driver give back what its last plan took, before the next large one."""
+    """Lets the driver give back what its last plans took, before the next large one: Python's, the heap's and, where the JVM has that command, the native memory that compiling code leaves with the allocator."""
     trim()
-    spark._jvm.System.gc()
+    jvm = spark._jvm
+    jvm.System.gc()
+    args = spark.sparkContext._gateway.new_array(jvm.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    # The server's own class is not exported, its interface is.
+    [invoke] = [m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke"]
+    try:
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JJavaError:
+        pass
 
 
 def remove(spark: SparkSession, path: str) -> None:
