@@ -143,12 +143,14 @@ def path_weight(weights: Column) -> Column:
     return F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
 
 
-def min_distances(graph: DataFrame, sources: DataFrame, max_steps: int = 10_000) -> DataFrame:
-    """(query_id, node, distance) in edges from each query's `node`, for all that it reaches."""
+def min_distances(graph: DataFrame, sources: DataFrame, max_steps: int = 10_000, within: int | None = None) -> DataFrame:
+    """(query_id, node, distance) in edges from each query's `node`, for all that it reaches, or only for those `within` so many edges."""
     hops = graph.select("src", "dst").distinct()
     seen = stage(sources.select("query_id", "node", F.lit(0).alias("distance")).distinct())
     front = seen
     for d in range(1, max_steps + 1):
+        if within is not None and d > within:
+            break
         front = stage(front.join(hops, front["node"] == hops["src"]).select("query_id", F.col("dst").alias("node")).distinct().join(seen, ["query_id", "node"], "left_anti").withColumn("distance", F.lit(d)))
         if front.isEmpty():
             break
@@ -238,7 +240,7 @@ def k_shortest(graph: DataFrame, queries: DataFrame, k: int, max_hops: int | Non
     if max_hops is None:
         return yen(graph, queries, k)
     hops = _hops(graph)
-    back = stage(min_distances(hops.select(F.col("dst").alias("src"), F.col("src").alias("dst")), queries.select("query_id", F.col("dst").alias("node")), max_hops))
+    back = stage(min_distances(hops.select(F.col("dst").alias("src"), F.col("src").alias("dst")), queries.select("query_id", F.col("dst").alias("node")), within=max_hops))
     front = queries.select("query_id", F.col("src").alias("node"), F.col("dst").alias("goal"), F.lit(0.0).alias("cost"), F.array("src").alias("nodes"), F.array().cast("array<string>").alias("edges"))
     done = []
     for i in range(1, max_hops + 1):

@@ -92,6 +92,16 @@ def test_k_lightest_paths_of_any_length(spark):
     assert sorted((r.query_id, r.rank, r.cost, r.nodes) for r in got.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("name", ["topk_paths", "yen_k_paths"])
+def test_k_paths_of_few_edges(spark, duck, name):
+    """The SQL's bound of three edges, on a graph that has nodes farther than that from their goals."""
+    test_query(spark, duck, name)
+    chain = spark.createDataFrame([(str(i), str(i + 1), "DirectCall", 1.0) for i in range(7)] + [("0", "3", "DirectCall", 5.0)], "src string, dst string, type string, weight double")
+    asked = spark.createDataFrame([(1, "0", "3"), (2, "0", "4"), (3, "0", "5")], "query_id long, src string, dst string")
+    got = G.k_shortest(chain, asked, 3, 3)
+    assert sorted((r.query_id, r.rank, r.cost, r.nodes) for r in got.collect()) == [(1, 1, 3.0, ["0", "1", "2", "3"]), (1, 2, 5.0, ["0", "3"]), (2, 1, 6.0, ["0", "3", "4"]), (3, 1, 7.0, ["0", "3", "4", "5"])]
+
+
 def test_filter_cves_defaults(spark):
     """Unscored and rejected ones go, disputed and deferred ones stay; a least score does not judge the unscored."""
     from corvid.operators.triage import filter_cves
