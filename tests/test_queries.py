@@ -116,6 +116,27 @@ def test_filter_cves_defaults(spark):
     assert ids(ids=[]) == ["a", "d", "e"] and ids(ids=["a", "b"]) == ["a"]
 
 
+def test_match_functions(spark):
+    """Against all pairs by hand: both tiers, short, empty and null parts, null files, ties; and no pair of rows is compared that shares no text."""
+    from corvid.operators.triage import match_functions
+
+    names = ["main", "run", "a::run(int)", "é::ab", "x", None, "aaa"]
+    functions = [(i % 2, i, names[i % 7], names[(i * 3 + 1) % 7] if i % 3 else None, f"src/{i % 4}.c" if i % 5 else None) for i in range(40)]
+    asked = ["run", "un(", "é", "ab", "", None, "aaaa", "main", "aa", "::"]
+    findings = [(i, asked[i % 10], [None, "src/1", "src/9", ""][i % 4]) for i in range(40)]
+    want = []
+    for i, fn, file in findings:
+        one = [(m, n) for m, n, name, _, src in functions if fn is not None and name == fn and (file or "") in (src or "")]
+        two = [(m, n) for m, n, name, text, _ in functions if fn is not None and fn in (text or name or "") and (text or name) is not None]
+        best = (min(one), 1, len(one)) if one else (min(two), 2, len(two)) if two else (None, None, None)
+        want.append((i, *best))
+    f = spark.createDataFrame(functions, "mid int, nid long, name string, demangled string, source_file string")
+    got = match_functions(spark.createDataFrame(findings, "finding long, function string, file string"), f)
+    assert sorted((r.finding, (r.mid, r.nid) if r.tier else None, r.tier, r.candidates) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_loops_and_limits_raise(spark):
     from corvid.operators.tree import compress_tree, with_depth
 
