@@ -114,21 +114,23 @@ def signatures(docs: DataFrame, shingle: int, t: int, rows: int) -> DataFrame:
     return _docs(docs).mapInArrow(T.released(make), "doc_id long, row_hash binary, n_shingles long, cls binary, bands array<long>")
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every u of the distinct edges (u, v) has one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg((F.sum("up") + F.max("down")).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] <= 1
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """(node, label) of every node of `links` (a, b): the least node reachable, by alternating large and small stars."""
+    """(node, label) of every node of `links` (a, b): the least node reachable, by alternating large and small stars until all are stars."""
     edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), name)
-    mark = None
-    while True:
+    while not _all_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u")
         edges = stage(small.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), name)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-        mark = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -434,3 +434,22 @@ def test_byte_bpe_long_words():
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
     for word in ("z" * 5000, "ab" * 700, "é" * 300, prose(3, 500).replace(" ", ""), "a", ""):
         assert byte_bpe.merge_long(word.encode(), path) == library.encode_ordinary(word)
+
+
+def test_components_end_when_all_are_stars(spark, monkeypatch):
+    """No links and stars take no round, chains as many as they need; labels against a search by hand."""
+    from corvid.llm import near_dedup
+
+    rounds = []
+    stage = near_dedup.stage
+    monkeypatch.setattr(near_dedup, "stage", lambda df, name: rounds.append(name) or stage(df, name))
+    chain = [(i, i + 1) for i in range(20)]
+    for links, most in (([], 1), ([(1, 5), (7, 1), (9, 9), (2, 3)], 1), ([*chain, (50, 40), (60, 50), (40, 60), (8, 3)], 9)):
+        rounds.clear()
+        got = {r.node: r.label for r in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+        want = {x: x for e in links if e[0] != e[1] for x in e}
+        for _ in want:
+            for a, b in links:
+                if a != b:
+                    want[a] = want[b] = min(want[a], want[b])
+        assert got == want and 1 <= len(rounds) <= most
