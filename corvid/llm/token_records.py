@@ -23,6 +23,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -84,8 +85,36 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end, self.remember = end, remember
         self.memo: dict[bytes, bytes] = {}
+        # An added token that the library cuts out as it is, before anything else, separates words that are encoded in one call.
+        self.mark = next(((x.content, i) for i, x in self.tokenizer.get_added_tokens_decoder().items() if not (x.normalized or x.lstrip or x.rstrip or x.single_word) and x.content[:1] == "<" and x.content[-1:] == ">"), None)
+        if self.tokenizer.truncation or self.tokenizer.padding:
+            self.mark = None
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else "<u4")
 
+    def _alone(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _ids(self, words: list[str], together: int = 32) -> list[bytes]:
+        """The ids of each word, as if encoded alone; words that could hold or become part of an added token are."""
+        if self.mark is None:
+            return self._alone(words)
+        out: list[bytes] = [b""] * len(words)
+        apart = [i for i, x in enumerate(words) if "<" in x or ">" in x]
+        for i, x in zip(apart, self._alone([words[i] for i in apart]), strict=True):
+            out[i] = x
+        skip = set(apart)
+        rest = [i for i in range(len(words)) if i not in skip]
+        text, mark = self.mark
+        lines = [text.join([words[i] for i in rest[a : a + together]]) + text for a in range(0, len(rest), together)]
+        flat = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)), self.dtype)
+        ends = np.flatnonzero(flat == mark)
+        if len(ends) != len(rest):  # the mark's id stands for something else too
+            return self._alone(words)
+        data, width, a = flat.tobytes(), self.dtype.itemsize, 0
+        for i, b in zip(rest, (ends * width).tolist(), strict=True):
+            out[i], a = data[a:b], b + width
+        return out
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id after each, and their n+1 offsets."""
         w, memo = T.words(texts), self.memo
@@ -93,8 +122,7 @@ class Encoder:
             memo.clear()
         unique = w.bytes_of()
         new = [x for x in unique if x not in memo]
-        for x, e in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True):
-            memo[x] = np.array(e.ids, self.dtype).tobytes()
+        memo.update(zip(new, self._ids([x.decode() for x in new]), strict=True))
         coded = [memo[x] for x in unique]
         flat = np.frombuffer(b"".join(coded), self.dtype)
         starts = np.concatenate([[0], np.cumsum([len(x) for x in coded], dtype=np.int64)]) // self.dtype.itemsize

@@ -453,3 +453,18 @@ def test_components_end_when_all_are_stars(spark, monkeypatch):
                 if a != b:
                     want[a] = want[b] = min(want[a], want[b])
         assert got == want and 1 <= len(rounds) <= most
+
+
+def test_words_encoded_together_as_alone():
+    """Ids of odd words from one call for many equal those of a fresh tokenizer for each, in fewer texts than words."""
+    from tokenizers import Tokenizer
+
+    from corvid.llm.token_records import Encoder
+
+    path = P.path("word_bpe_49k.json")
+    odd = ["<|endoftext|>", "a<|endoftext|>b", "<|", "|>", "<|ENDOFTEXT|>", "endoftext|", "\u0338x", "x\u0301", "\u00a0a\u00a0", "\u2003", "\x00", "\u200d", "İ", "don't", "!!??", "日本語", "\U0001f600\u0338", "\ufffe"]
+    words = [*odd, *[f"w{i}{c}" for i in range(50) for c in ("", "'s", "\u0338")], *reversed(odd)]
+    encoder, fresh = Encoder(path, 1), Tokenizer.from_file(path)
+    got = encoder._ids(words)
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in got] == [fresh.encode(w, add_special_tokens=False).ids for w in words]
+    assert encoder.mark is not None
