@@ -17,6 +17,9 @@ import pyarrow.fs as pafs
 #: Halves of a word, and of its halves, with the masks of their lower ones.
 _HALVES = [(np.uint64(w), np.uint64((1 << w) - 1)) for w in (32, 16, 8, 4, 2, 1)]
 
+#: Words between those whose zeros are counted in memory; a power of 2.
+_STEP = 64
+
 
 def save(path: str, array: np.ndarray) -> None:
     """Writes one array; the name appears when the file is whole, so that a task can be run again."""
@@ -73,6 +76,7 @@ class EliasFano:
 
     def __init__(self, n: int, low: int, lows: np.ndarray, bits: np.ndarray, ranks: np.ndarray):
         self.n, self.low, self.lows, self.bits, self.ranks = n, low, lows, bits, ranks
+        self.zeros: np.ndarray | None = None
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -135,9 +139,13 @@ class EliasFano:
         return first.astype(np.int64), then.astype(np.int64)
 
     def _word_of_zero(self, h: np.ndarray) -> np.ndarray:
-        """The word that holds the h-th zero: zeros before a word are its bits less the ones before it."""
-        lo, hi = np.zeros(len(h), np.int64), np.full(len(h), len(self.bits) - 1)
-        for _ in range(len(self.bits).bit_length()):
+        """The word that holds the h-th zero: zeros before a word are its bits less the ones before it. Those of each _STEP-th word are kept in memory."""
+        if self.zeros is None:
+            at = np.arange(0, len(self.bits), _STEP)
+            self.zeros = at * 64 - self.ranks[at]
+        lo = (np.searchsorted(self.zeros, h, side="right") - 1) * _STEP
+        hi = np.minimum(lo + _STEP, len(self.bits)) - 1
+        for _ in range(_STEP.bit_length() - 1):
             mid = (lo + hi + 1) >> 1
             up = mid * 64 - self.ranks[mid] <= h
             lo, hi = np.where(up, mid, lo), np.where(up, hi, mid - 1)

@@ -42,6 +42,8 @@ END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
 #: Steps of one unit of log10.
 SCALE = 4096
 _PIECE = T.PIECE_BYTES
+#: Bytes of text scored at once: what a worker holds for each byte is some 40.
+_SCORED = T.PIECE_BYTES // 2
 #: The context of rows that only name a shard.
 _NONE = -(1 << 40)
 
@@ -65,13 +67,14 @@ class _Stream:
         w = T.words(texts, lower=True)
         n, hashes = len(w), _hashes(w)
         end = len(hashes) - 1
-        tokens = np.full(len(w.ids) + n, end, np.int64)
+        tokens = np.full(len(w.ids) + n, end, np.int32)
         last = w.bounds[1:] + np.arange(n)
         words = np.ones(len(tokens), bool)
         words[last] = False
         tokens[words] = w.ids
-        contexts = np.concatenate([[end], tokens[:-1]])[: len(tokens)]
-        return cls(hashes, tokens, contexts, np.repeat(np.arange(n), np.diff(w.bounds) + 1))
+        contexts = np.full(len(tokens), end, np.int32)
+        contexts[1:] = tokens[:-1]
+        return cls(hashes, tokens, contexts, np.repeat(np.arange(n, dtype=np.int32), np.diff(w.bounds) + 1))
 
 
 @dataclass(frozen=True)
@@ -251,7 +254,7 @@ def train(docs: DataFrame, path: str | None = None, least: int = 1, discount: fl
                 ids, counts = word_ids(model, s.hashes)
                 size, often = len(ids), counts >= least  # a pair is no more frequent than its words
                 keep = often[s.tokens] & often[s.contexts]
-                follows = np.full(len(s.tokens), -1)
+                follows = np.full(len(s.tokens), -1, np.int32)
                 if order > 2 and len(follows):
                     follows[:-1] = np.where((s.tokens[:-1] != size - 1) & often[s.tokens[1:]], s.tokens[1:], -1)
                 by = np.argsort(ids, kind="stable")  # local numbers in the order of ids: one sort orders all
@@ -320,6 +323,17 @@ def _pair_shard(key: np.ndarray, shards: int) -> np.ndarray:
     return (T.mix(key.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and each key's place among them; key is not kept."""
+    by = np.argsort(key)
+    key[:] = key[by]
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    at = np.empty(len(key), np.int32)
+    at[by] = np.cumsum(new, dtype=np.int32) - 1
+    return key[new], at
+
+
 def _counted(context: np.ndarray, word: np.ndarray, follow: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (context * size + word, follow) in order, and how often each is given; all numbers are below size."""
     pair, back = context * size + word, None
@@ -366,34 +380,44 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in T.pieces(batch, most=_PIECE):
+            for x in T.pieces(batch, most=_SCORED):
                 s = _Stream.of(T.column(x, "text"))
                 n = x.num_rows
                 ids, counts = word_ids(model, s.hashes)
-                base = np.log10((counts + 1) / total)
+                share = (counts + 1) / total
                 context, token = s.contexts, s.tokens
                 weight = np.ones(len(ids))
                 known = ids >= 0
                 weight[known] = 10.0 ** (-_by_id(model, ids[known], _backoff) / SCALE)
-                each = weight[context] * ((counts + 1) / total)[token]
-                both = np.flatnonzero(known[context] & known[token])
-                pairs, at = np.unique((ids[context[both]] << 32) | ids[token[both]], return_inverse=True)
-                place = np.full(len(token), -1)
-                place[both] = at
-                asked, spread, seen = None, None, None
+                each = weight[context]
+                each *= share[token]
+                both = known[context] & known[token]
+                key = ids[context[both]]
+                key <<= 32
+                key |= ids[token[both]]
+                pairs, at = _distinct(key)
+                asked = None
                 if len(model.levels) > 1:
-                    after = np.flatnonzero(np.diff(s.doc) == 0) + 1  # all but first tokens
-                    seen = after[(place[after - 1] >= 0) & known[token[after]]]
-                    two, spread = np.unique(place[seen - 1] * len(ids) + token[seen], return_inverse=True)
+                    place = np.full(len(token), -1, np.int32)
+                    place[both] = at
+                    after = s.doc[1:] == s.doc[:-1]  # all but first tokens
+                    seen = after & (place[:-1] >= 0) & known[token[1:]]
+                    key = place[:-1][seen].astype(np.int64)
+                    del place
+                    key *= len(ids)
+                    key += token[1:][seen]
+                    two, spread = _distinct(key)
                     asked = (two // len(ids), ids[two % len(ids)])
+                    del two
+                del key
                 code, back, triple = find(model, pairs >> 32, pairs & 0xFFFFFFFF, asked)
                 each[both] += _unquantised(code, 0.0)[at]
                 if asked:
                     weight = np.ones(len(token))
                     weight[both] = _unquantised(back, 1.0)[at]
-                    each[after] *= weight[after - 1]
-                    each[seen] += _unquantised(triple, 0.0)[spread]
-                each = np.log10(each)
+                    each[1:][after] *= weight[:-1][after]
+                    each[1:][seen] += _unquantised(triple, 0.0)[spread]
+                each, base = np.log10(each, out=each), np.log10(share)
                 per = lambda w: np.bincount(s.doc, w, n)
                 yield pa.RecordBatch.from_arrays(
                     [T.column(x, "doc_id"), pa.array(np.bincount(s.doc, minlength=n)), pa.array(per(counts[token] > 0).astype(np.int64)), pa.array(np.full(n, model.tokens)), pa.array(per(base[token])), pa.array(per(each))],

@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -261,6 +262,18 @@ def test_elias_fano():
             assert (k >= 0) == (y in v[a:b]) and (k < 0 or (a <= k < b and v[k] == y))
 
 
+def test_elias_fano_many_words():
+    """Sequences of more words than lie between two counted ones, with long runs of ones and of zeros."""
+    rng = np.random.default_rng(1)
+    spread = rng.integers(0, 1 << 22, 60_000)
+    for v in (spread, np.concatenate([spread // 512, spread + (1 << 21)]), np.repeat(rng.integers(0, 1 << 30, 9), 3000)):
+        v = np.sort(v).astype(np.uint64)
+        e = EliasFano.build(v)
+        x = np.concatenate([v, rng.integers(0, int(v[-1]) + 9, 5000).astype(np.uint64)])
+        assert (e.successor(x) == np.searchsorted(v, x)).all()
+        assert ((e.find(x) >= 0) == np.isin(x, v)).all()
+
+
 def test_language_model(docs, empty):
     model = language_model.train(docs, least=2, order=2)
     sents = [[*WORD.findall(lower(t)), b" "] for _, t in ROWS]
@@ -316,6 +329,30 @@ def test_language_model_whole_counts(docs, order):
         assert g[:2] == w[:2] and abs(g[2] - w[2]) < 3e-4 * w[1]
 
 
+class _Mapped:
+    """In place of a DataFrame: mapInArrow gives the function itself."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, make, _):
+        return make
+
+
+def test_language_model_memory(docs):
+    """What scoring holds at once is bounded, for a batch of 8 MB below 26 times its bytes."""
+    words = WORD.findall(lower(ROWS[11][1]))
+    pick = np.random.default_rng(3).integers(len(words), size=1_600_000)
+    texts = [b" ".join(words[i] for i in x).decode() for x in np.split(pick, 400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts)], ["doc_id", "text"])
+    score = language_model.score(_Mapped(), language_model.train(docs))
+    tracemalloc.start()
+    rows = sum(x.num_rows for x in score(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 400 and most < 26 * sum(map(len, texts)), most / sum(map(len, texts))
+
+
 @pytest.mark.parametrize("longest,block,common", [(96, 1 << 20, 0), (8, 200, 7), (96, 300, 1000)])
 def test_byte_bpe(docs, empty, longest, block, common):
     import tiktoken
