@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,7 +37,7 @@ from corvid.llm import text as T
 from corvid.llm.scratch import bounded_batches, short_plans, stage, tidy_driver
 
 #: Bytes of text in a block, at least one document.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: The rank of pairs that do not merge; and an entry that no first id matches.
 _NONE, _FREE = 65535, 1 << 49
 
@@ -190,7 +189,7 @@ class _Block:
 
     _OTHER = "[\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
-    def __init__(self, split, common: dict[str, int]):
+    def __init__(self, split, common: pa.Array):
         self.split, self.common = split, common
         self.number: dict[str, int] = {}
         self.docs: list[pa.Array] = []
@@ -198,6 +197,10 @@ class _Block:
         self.counts: list[np.ndarray] = []
         self.bytes = 0
 
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """Numbers in the dictionary, or -1. It is looked up as an Arrow array: a dict of it would take some 50 MB of each worker, idle ones too."""
+        return pc.fill_null(pc.index_in(words, value_set=self.common), -1).to_numpy(zero_copy_only=False).astype(np.int32)
+
     def add(self, docs: pa.Array, texts: pa.Array) -> None:
         odd = pc.match_substring_regex(texts, self._OTHER).to_numpy(zero_copy_only=False)
         data, offsets = T.buffers(texts)
@@ -210,12 +213,22 @@ class _Block:
             start[offsets[:-1][odd]] = True
         at = np.flatnonzero(start)
         coded = T.binary_array(data, np.append(at, len(data)) if len(at) else np.zeros(1)).dictionary_encode()
-        number, common, base = self.number, self.common, len(self.common)
+        number, base = self.number, len(self.common)
         # Words of the dictionary are their own only match.
-        units = [x.decode() for x in coded.dictionary.to_pylist()]
-        own = [(c,) if (c := common.get(u)) is not None else [c if (c := common.get(x)) is not None else number.setdefault(x, base + len(number)) for x in self.split(u)] for u in units]
-        starts = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
-        flat = np.fromiter((i for x in own for i in x), np.int32, int(starts[-1]))
+        units = coded.dictionary.cast(self.common.type)
+        own = self._known(units)
+        new = np.flatnonzero(own < 0)
+        matches = [self.split(u) for u in units.take(pa.array(new)).to_pylist()]
+        matched = pa.array([x for m in matches for x in m], self.common.type).dictionary_encode()
+        numbers = self._known(matched.dictionary)
+        rest = np.flatnonzero(numbers < 0)
+        numbers[rest] = [number.setdefault(x, base + len(number)) for x in matched.dictionary.take(pa.array(rest)).to_pylist()]
+        sizes = np.ones(len(units), np.int64)
+        sizes[new] = [len(m) for m in matches]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        flat = np.empty(int(starts[-1]), np.int32)
+        flat[starts[:-1][own >= 0]] = own[own >= 0]
+        flat[T.ragged(starts, new)[0]] = numbers[matched.indices.to_numpy()]
         places, ends = T.ragged(starts, coded.indices.to_numpy())
         self.docs.append(docs)
         self.places.append(flat[places].astype("<i4"))
@@ -267,17 +280,6 @@ def _whole(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
-_DICTIONARY: dict[str, dict[str, int]] = {}
-
-
-def _numbers(key: str, shared) -> dict[str, int]:
-    """Number by word of a broadcast array; a worker keeps those of one dictionary, that of key."""
-    if key not in _DICTIONARY:
-        _DICTIONARY.clear()
-        _DICTIONARY[key] = {w: i for i, w in enumerate(shared.value.to_pylist())}
-    return _DICTIONARY[key]
-
-
 def encode(docs: DataFrame, ranks: str, pattern: str, block_bytes: int = BLOCK_BYTES, longest: int = 96, common: int = 300_000, sample_rows: int = 20_000) -> DataFrame:
     """doc_id, n_tokens, ids (32-bit little-endian) and decoded (bytes) of every document.
 
@@ -288,10 +290,10 @@ def encode(docs: DataFrame, ranks: str, pattern: str, block_bytes: int = BLOCK_B
     short_plans(docs.sparkSession)
     tidy_driver(docs.sparkSession)
     often, *coded_ = common_words(docs, ranks, pattern, common, sample_rows, longest)
-    dictionary, pieces_of, key = docs.sparkSession.sparkContext.broadcast(often), docs.sparkSession.sparkContext.broadcast(coded_), uuid.uuid4().hex
+    dictionary, pieces_of = docs.sparkSession.sparkContext.broadcast(often), docs.sparkSession.sparkContext.broadcast(coded_)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known = regex.compile(pattern).findall, _numbers(key, dictionary)
+        split, known = regex.compile(pattern).findall, dictionary.value
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
 
         def row(block: _Block) -> pa.RecordBatch:

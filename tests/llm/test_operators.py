@@ -365,6 +365,22 @@ def test_byte_bpe(docs, empty, longest, block, common):
     assert byte_bpe.encode(empty, path, P.PATTERN).count() == 0
 
 
+def test_byte_bpe_dictionary_memory(docs, monkeypatch):
+    """A worker holds the broadcast dictionary as it is, not a Python object for each word."""
+    often = [f" w{i}" for i in range(200_000)]
+    made = []
+    monkeypatch.setattr(byte_bpe, "common_words", lambda *_: (pa.array(often), pa.array([b""] * len(often)), pa.array([b""] * len(often))))
+    monkeypatch.setattr(byte_bpe.T, "released", lambda make: made.append(make) or make)
+    byte_bpe.encode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a w7 b w7", None])], ["doc_id", "text"])
+    tracemalloc.start()
+    [row] = made[0](iter([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    places = np.frombuffer(row.column(2)[0].as_py(), "<i4").tolist()
+    assert places[1] == places[3] == 7 and {places[0], places[2]} == {200_000, 200_001} and most < 10e6, (places, most)
+
+
 def test_rows_with_equal_32_bit_hashes(spark):
     """Null doc_ids and texts whose 32-bit hashes collide: each row keeps its own text."""
     texts = spark.range(300_000).select(F.regexp_replace(F.lit("a# b# c# d#"), "#", F.col("id").cast("string")).alias("t"))
