@@ -79,6 +79,19 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def owned(spark: SparkSession) -> list[str]:
+    """The paths of this session's intermediate tables, oldest first."""
+    return list(_OWN.get(spark.sparkContext.applicationId, []))
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes some of this session's intermediate tables."""
+    own = _OWN.get(spark.sparkContext.applicationId, [])
+    own[:] = [p for p in own if p not in paths]
+    for path in paths:
+        remove(spark, path)
+
+
 def clean(spark: SparkSession) -> None:
     """Deletes this session's intermediate tables, once results that read them have been written."""
     for path in _OWN.pop(spark.sparkContext.applicationId, []):

@@ -521,3 +521,22 @@ def test_words_encoded_together_as_alone():
     got = encoder._ids(words)
     assert [np.frombuffer(x, encoder.dtype).tolist() for x in got] == [fresh.encode(w, add_special_tokens=False).ids for w in words]
     assert encoder.mark is not None
+
+
+def test_pipeline_drops_tables_of_written_stages(spark, docs, tmp_path):
+    """The next stage deletes them when it is given the written result, and not before."""
+    import corpus_pipeline
+    from corvid.llm import scratch
+
+    docs.write.parquet(str(tmp_path / "docs"))
+    given = spark.read.parquet(str(tmp_path / "docs"))
+    before = set(scratch.owned(spark))
+    first = corpus_pipeline.drop_copies(spark, given, "")
+    made = set(scratch.owned(spark)) - before
+    again = corpus_pipeline.drop_copies(spark, given, "")
+    corpus_pipeline.drop_near_copies(spark, first, "")
+    assert made and made <= set(scratch.owned(spark)) and first.count() == again.count()
+    first.write.parquet(str(tmp_path / "kept"))
+    near = corpus_pipeline.drop_near_copies(spark, spark.read.parquet(str(tmp_path / "kept")), "")
+    assert not made & set(scratch.owned(spark)) and before <= set(scratch.owned(spark))
+    assert 0 < near.count() <= spark.read.parquet(str(tmp_path / "kept")).count()
