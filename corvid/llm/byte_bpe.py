@@ -24,6 +24,7 @@ import base64
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -36,8 +37,10 @@ from pyspark.sql import functions as F
 from corvid.llm import text as T
 from corvid.llm.scratch import bounded_batches, short_plans, stage, tidy_driver
 
-#: Bytes of text in a block, at least one document.
-BLOCK_BYTES = 2 << 20
+#: Bytes of text in a block, at least one document, and of an Arrow batch: two workers and the JVM hold some of each for every task.
+BLOCK_BYTES, BATCH = 512 << 10, "2m"
+#: Base of the hash by which words are looked up.
+_BASE = 0x9E3779B97F4A7C15
 #: The rank of pairs that do not merge; and an entry that no first id matches.
 _NONE, _FREE = 65535, 1 << 49
 
@@ -179,6 +182,50 @@ def piece_expression(path: str):
     return lambda ids: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
 
 
+def _hashes(words: pa.Array, step: int = 8192) -> np.ndarray:
+    """64-bit hash of each word; a few at a time, as each byte takes some 40 for a while."""
+    out = np.empty(len(words), np.uint64)
+    for at in range(0, len(words), step):
+        data, offsets = T.buffers(words.slice(at, step))
+        out[at : at + step] = T.segments(data.astype(np.uint64), offsets[:-1], np.diff(offsets), _BASE)
+    return out
+
+
+@dataclass
+class _Dictionary:
+    """Words, looked up by hashes that a comparison confirms.
+
+    As arrays, since a dict of the words would take some 50 MB of each worker, idle ones too; and sorted
+    once, since Arrow's lookup hashes all words anew for each piece. A word whose hash another has may
+    not be found; it is merged like others then.
+    """
+
+    words: pa.Array
+    hashes: np.ndarray
+    order: np.ndarray
+    longest: int
+
+    @classmethod
+    def of(cls, words: pa.Array) -> _Dictionary:
+        hashes = _hashes(words)
+        order = np.argsort(hashes).astype(np.int32)
+        return cls(words, hashes[order], order, pc.max(pc.binary_length(words)).as_py() or 0)
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """Places among the words of the dictionary, or -1."""
+        out = np.full(len(words), -1, np.int32)
+        few = np.flatnonzero(pc.binary_length(words).to_numpy(zero_copy_only=False) <= self.longest) if len(self) else out[:0]
+        if len(few):
+            words = words.take(pa.array(few))
+            at = self.order[np.minimum(np.searchsorted(self.hashes, _hashes(words)), len(self) - 1)]
+            same = pc.equal(words, self.words.take(pa.array(at))).to_numpy(zero_copy_only=False)
+            out[few[same]] = at[same]
+        return out
+
+
 class _Block:
     """The numbered distinct words of a block, after those of the dictionary, and its documents as sequences of their numbers.
 
@@ -189,7 +236,7 @@ class _Block:
 
     _OTHER = "[\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
-    def __init__(self, split, common: pa.Array):
+    def __init__(self, split, common: _Dictionary):
         self.split, self.common = split, common
         self.number: dict[str, int] = {}
         self.docs: list[pa.Array] = []
@@ -197,10 +244,6 @@ class _Block:
         self.counts: list[np.ndarray] = []
         self.bytes = 0
 
-    def _known(self, words: pa.Array) -> np.ndarray:
-        """Numbers in the dictionary, or -1. It is looked up as an Arrow array: a dict of it would take some 50 MB of each worker, idle ones too."""
-        return pc.fill_null(pc.index_in(words, value_set=self.common), -1).to_numpy(zero_copy_only=False).astype(np.int32)
-
     def add(self, docs: pa.Array, texts: pa.Array) -> None:
         odd = pc.match_substring_regex(texts, self._OTHER).to_numpy(zero_copy_only=False)
         data, offsets = T.buffers(texts)
@@ -215,12 +258,12 @@ class _Block:
         coded = T.binary_array(data, np.append(at, len(data)) if len(at) else np.zeros(1)).dictionary_encode()
         number, base = self.number, len(self.common)
         # Words of the dictionary are their own only match.
-        units = coded.dictionary.cast(self.common.type)
-        own = self._known(units)
+        units = coded.dictionary.cast(self.common.words.type)
+        own = self.common.numbers(units)
         new = np.flatnonzero(own < 0)
         matches = [self.split(u) for u in units.take(pa.array(new)).to_pylist()]
-        matched = pa.array([x for m in matches for x in m], self.common.type).dictionary_encode()
-        numbers = self._known(matched.dictionary)
+        matched = pa.array([x for m in matches for x in m], units.type).dictionary_encode()
+        numbers = self.common.numbers(matched.dictionary)
         rest = np.flatnonzero(numbers < 0)
         numbers[rest] = [number.setdefault(x, base + len(number)) for x in matched.dictionary.take(pa.array(rest)).to_pylist()]
         sizes = np.ones(len(units), np.int64)
@@ -286,11 +329,11 @@ def encode(docs: DataFrame, ranks: str, pattern: str, block_bytes: int = BLOCK_B
     ranks: a rank file's path on every machine; pattern: the split pattern of its tokeniser; common and
     sample_rows bound the dictionary, none at common 0.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, BATCH)
     short_plans(docs.sparkSession)
     tidy_driver(docs.sparkSession)
     often, *coded_ = common_words(docs, ranks, pattern, common, sample_rows, longest)
-    dictionary, pieces_of = docs.sparkSession.sparkContext.broadcast(often), docs.sparkSession.sparkContext.broadcast(coded_)
+    dictionary, pieces_of = docs.sparkSession.sparkContext.broadcast(_Dictionary.of(often)), docs.sparkSession.sparkContext.broadcast(coded_)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, known = regex.compile(pattern).findall, dictionary.value
@@ -313,7 +356,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, block_bytes: int = BLOCK_B
 
         block = _Block(split, known)
         for batch in batches:
-            for x in T.pieces(batch, most=T.PIECE_BYTES // 4):
+            for x in T.pieces(batch, most=block_bytes):
                 block.add(T.column(x, "doc_id"), pc.fill_null(T.column(x, "text"), ""))
                 if block.bytes >= block_bytes:
                     yield row(block)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from corvid.llm.text import trim
 
 _OWN: dict[str, list[str]] = {}
+#: The bounds of Arrow batches that operators have set, by application.
+_BATCHES: dict[str, str] = {}
 #: Folders of sessions that name none, by application.
 _LOCAL: dict[str, str] = {}
 
@@ -46,10 +48,11 @@ def row_digest(text: Column) -> Column:
 
 
 def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
-    """Bounds the bytes of an Arrow batch to Python workers, where the session does not say: rows alone leave long texts unbounded."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) is None:
+    """Bounds the bytes of an Arrow batch to Python workers, where the session does not say: rows alone leave long texts unbounded. The bound of the operator before gives way."""
+    key, app = "spark.sql.execution.arrow.maxBytesPerBatch", spark.sparkContext.applicationId
+    if spark.conf.get(key, None) in (None, _BATCHES.get(app)):
         spark.conf.set(key, most)
+        _BATCHES[app] = most
 
 
 def short_plans(spark: SparkSession, most: int = 200_000) -> None:

@@ -36,6 +36,9 @@ from corvid.llm.scratch import bounded_batches, stage
 #: Bytes of the stems that are terms beside the whole word, so that inflected forms share evidence.
 STEMS = (5, 7)
 
+#: Bytes of text handled at once, and of an Arrow batch.
+PIECE_BYTES, BATCH = 512 << 10, "2m"
+
 #: Standard errors by which a bucket's share among toxic documents must differ for a weight.
 LEAST_Z = 4.0
 _STRIP = string.punctuation.encode()
@@ -126,14 +129,14 @@ def fit(found: np.ndarray, offsets: np.ndarray, labels: np.ndarray, dims: int, f
 
 def train(docs: DataFrame, labels: DataFrame, dims: int = 1 << 20, sample_rows: int = 12_000, **options) -> Machine:
     """Fits on at most sample_rows labelled documents, none of them held out."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, BATCH)
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).filter("_toxic IS NOT NULL AND _id IS NOT NULL").filter(~held_out(F.col("_id")))
     chosen = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.max("text").alias("text"), F.max("_toxic").alias("_toxic"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in T.pieces(batch, most=T.PIECE_BYTES // 4):
+            for x in T.pieces(batch, most=PIECE_BYTES):
                 found, off = terms(T.column(x, "text"), dims)
                 yield pa.RecordBatch.from_arrays([T.column(x, "_toxic").cast(pa.int32()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(found.astype(np.int32)))], ["toxic", "terms"])
 
@@ -167,7 +170,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in T.pieces(batch, most=T.PIECE_BYTES // 4):
+            for x in T.pieces(batch, most=PIECE_BYTES):
                 yield pa.RecordBatch.from_arrays([T.column(x, "doc_id"), pa.array(shared.value.scores(*terms(T.column(x, "text"), shared.value.dims)))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(T.released(make), "doc_id long, score double")
@@ -179,7 +182,7 @@ def without_toxic(docs: DataFrame, machine: Machine, threshold: float = 0.5) ->
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in T.pieces(batch, most=T.PIECE_BYTES // 4):
+            for x in T.pieces(batch, most=PIECE_BYTES):
                 yield x.filter(pa.array(shared.value.scores(*terms(T.column(x, "text"), shared.value.dims)) < threshold))
 
     return docs.mapInArrow(T.released(make), docs.schema)

@@ -381,6 +381,47 @@ def test_byte_bpe_dictionary_memory(docs, monkeypatch):
     assert places[1] == places[3] == 7 and {places[0], places[2]} == {200_000, 200_001} and most < 10e6, (places, most)
 
 
+def test_byte_bpe_block_size(docs, monkeypatch):
+    """What the JVM gets in a row follows the block, not the batch of 4 MB."""
+    words = sorted({w for _, t in ROWS for w in (t or "").split()})
+    pick = np.random.default_rng(3).integers(len(words), size=800_000)
+    texts = [" ".join(words[i] for i in x) for x in np.split(pick, 800)]
+    often, made = [f" w{i}" for i in range(200_000)], []
+    monkeypatch.setattr(byte_bpe, "common_words", lambda *_: (pa.array(often), pa.array([b""] * len(often)), pa.array([b""] * len(often))))
+    monkeypatch.setattr(byte_bpe.T, "released", lambda make: made.append(make) or make)
+    byte_bpe.encode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(800)), pa.array(texts)], ["doc_id", "text"])
+    sizes = [(row.nbytes, len(row.column(0)[0])) for row in made[0](iter([batch]))]
+    assert sum(n for _, n in sizes) == 800 and max(b for b, _ in sizes) < 1 << 20, max(sizes)
+
+
+def test_byte_bpe_words_looked_up():
+    """Words of the dictionary by their places, others (also longer, empty and of equal hash) by none or, at worst, not found."""
+    words = ["a", " b", "é", " the", "x" * 24, "\n"]
+    found = byte_bpe._Dictionary.of(pa.array(words))
+    assert found.numbers(pa.array([" the", "", "x" * 25, "é", "b", "\n", "a", "x" * 24, "a "])).tolist() == [3, -1, -1, 2, -1, 5, 0, 4, -1]
+    assert found.numbers(pa.array(words).slice(2, 2)).tolist() == [2, 3] and found.numbers(pa.array([], pa.string())).tolist() == []
+    found.hashes[:] = found.hashes[0]
+    assert set(found.numbers(pa.array(words)).tolist()) <= {-1, *range(6)} and found.numbers(pa.array(["zz"])).tolist() == [-1]
+    assert byte_bpe._Dictionary.of(pa.array([], pa.string())).numbers(pa.array(["a"])).tolist() == [-1]
+
+
+def test_batches_of_the_operator_or_the_session(spark):
+    """Each operator bounds its own batches; what the session says holds."""
+    from corvid.llm.scratch import bounded_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.newSession()
+    bounded_batches(own)
+    bounded_batches(own, byte_bpe.BATCH)
+    assert own.conf.get(key) == byte_bpe.BATCH
+    bounded_batches(own)
+    assert own.conf.get(key) == "8m"
+    own.conf.set(key, "3m")
+    bounded_batches(own, byte_bpe.BATCH)
+    assert own.conf.get(key) == "3m"
+
+
 def test_rows_with_equal_32_bit_hashes(spark):
     """Null doc_ids and texts whose 32-bit hashes collide: each row keeps its own text."""
     texts = spark.range(300_000).select(F.regexp_replace(F.lit("a# b# c# d#"), "#", F.col("id").cast("string")).alias("t"))
