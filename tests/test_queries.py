@@ -160,6 +160,21 @@ def test_contained_sets(spark):
     assert "keys=[a#" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_subset_reads_all_lines(spark, tmp_path):
+    """join_set_subset: sets have the lines of every quantity, on both sides; equal to all pairs by hand and to the SQL."""
+    lines = [(i, 100 + j * (i % 3 + 1), q) for i in [*range(0, 130, 5), 7] for j in range(i // 5 % 4 + 1) for q in ((1.0, 30.0, 44.0, 48.0, None)[(i + j) % 5],)]
+    lines += [(20, None, 2.0), (140, 100, 3.0), (140, 140, 49.0), (None, 100, 1.0), (160, 100, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    of = {i: {None if s is None else s % 40 for j, s, _ in lines if j == i} for i, _, _ in lines}
+    want = [(i, j) for i, x in of.items() if i is not None and i % 20 == 0 and None not in x for j, y in of.items() if x <= y]
+    key = lambda r: (r[0], r[1] is None, r[1] or 0)
+    assert (60, 40) in want and (160, None) in want and (140, 160) in want and not any(i == 20 for i, _ in want)
+    assert sorted(map(tuple, registry.queries()["join_set_subset"](spark, str(tmp_path)).select("a", "b").collect()), key=key) == sorted(want, key=key)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    assert sorted(con.sql(registry.oracle_sql()["join_set_subset"]).fetchall(), key=key) == sorted(want, key=key)
+
+
 def test_loops_and_limits_raise(spark):
     from corvid.operators.tree import compress_tree, with_depth
 
