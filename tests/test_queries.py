@@ -160,6 +160,25 @@ def test_contained_sets(spark):
     assert "keys=[a#" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("kind", ["long", "int", "double"])
+def test_contained_sets_of_one_rarest_item(spark, monkeypatch, kind):
+    """All sets meet by one item: compared in several tasks, and pairs of ids are made from one id at a time."""
+    from corvid.operators import constraints as C
+
+    a = [(i, x) for i in range(40) for x in (0, i % 36 + 1)]
+    b = [(100 + j, x) for j in range(50) for x in range(j >= 20, 41) if x != j % 40 + 1]
+    of = lambda rows: {i: {x for j, x in rows if j == i} for i, _ in rows}
+    staged, keep = [], C.stage
+    monkeypatch.setattr(C, "stage", lambda df: staged.append(df) or keep(df))
+    monkeypatch.setattr(C, "TESTS", 4, raising=False)
+    first, second = (spark.createDataFrame(rows, "id long, item long") for rows in (a, b))
+    got = C.contained_sets(first.withColumn("item", F.col("item").cast(kind)), second)
+    assert sorted(map(tuple, got.collect())) == sorted((i, j) for i, x in of(a).items() for j, y in of(b).items() if x <= y)
+    pairs = next(df for df in staged if "items_b" in df.columns)
+    assert pairs.select(F.spark_partition_id()).distinct().count() > 1
+    assert [x for x in got._jdf.queryExecution().sparkPlan().toString().replace("(", " ").split() if x in ("Generate", "Coalesce")][:3] == ["Generate", "Coalesce", "Generate"]
+
+
 def test_subset_reads_all_lines(spark, tmp_path):
     """join_set_subset: sets have the lines of every quantity, on both sides; equal to all pairs by hand and to the SQL."""
     lines = [(i, 100 + j * (i % 3 + 1), q) for i in [*range(0, 130, 5), 7] for j in range(i // 5 % 4 + 1) for q in ((1.0, 30.0, 44.0, 48.0, None)[(i + j) % 5],)]
